@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tablemill.llm import minhash_dedup
+from tablemill.llm import bpe, decontaminate, minhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op8_minhash_near_dedup": minhash_dedup.op8_minhash_near_dedup,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -150,3 +150,18 @@ def shared(key, make):
     if key not in _SHARED:
         _SHARED[key] = make()
     return _SHARED[key]
+
+
+class Published:
+    """A broadcast value of bounded size, with a name under which workers keep what they make of it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.name = uuid.uuid4().hex
+        self.broadcast = spark.sparkContext.broadcast(value)
+
+    def made(self, make):
+        """make(value), once per Python worker."""
+        kind = f"{make.__module__}.{make.__qualname__}"
+        if len(old := [k for k in _SHARED if k[0] == kind and k[1] != self.name]) > 3:
+            del _SHARED[old[0]]
+        return shared((kind, self.name), lambda: make(self.broadcast.value))

@@ -112,7 +112,7 @@ def blocks_of(items: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFram
     )
 
 
-def links_in_block(ids, texts, chunks, hasher: MinHasher, percent: int, memo: WordHashes, linked: bool) -> list[tuple[int, int]]:
+def links_in_block(ids, texts, chunks, hasher: MinHasher, percent: int, memo: WordHashes) -> list[tuple[int, int]]:
     """Verified links that connect the block's items, most similar first.
 
     chunks: the chunk of each item; in a block of two chunks only pairs across them count, since
@@ -170,11 +170,11 @@ def links_in_block(ids, texts, chunks, hasher: MinHasher, percent: int, memo: Wo
 
 def _verify(bands: int, rows: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, memo = shared(("minhash", bands, rows), lambda: MinHasher(bands, rows)), shared("words", WordHashes)
+        hasher, memo = shared(("minhash", bands, rows), lambda: MinHasher(bands, rows)), shared(("words",), WordHashes)
         key, held = None, ([], [], [])
 
         def flush():
-            found = links_in_block(*held, hasher, percent, memo, True) if len(held[0]) > 1 else []
+            found = links_in_block(*held, hasher, percent, memo) if len(held[0]) > 1 else []
             if found:
                 return pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"]
@@ -202,11 +202,16 @@ def _verify(bands: int, rows: int, percent: int):
     return run
 
 
-def linked_components(items: DataFrame, texts: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
-    """Distinct items (id, n, bands) and their texts (id, text) to (id, component) of the verified links."""
+def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: int, places: DataFrame | None = None) -> DataFrame:
+    """Distinct items (id, n, bands) and their texts to (id, component) of the verified links.
+
+    texts: (id, text), or a function that gets the rows of `places` that are candidates and
+    returns (id, text) for them.
+    """
     groups = written(coarse_groups(items))
-    blocks = blocks_of(items, groups, texts)
-    links = blocks.mapInArrow(_verify(bands, rows, percent), "a long, b long")
+    if places is not None:
+        texts = texts(places.join(groups.select("id"), "id", "left_semi"))
+    links = blocks_of(items, groups, texts).mapInArrow(_verify(bands, rows, percent), "a long, b long")
     out = written(connected_components(links))
     drop(groups)
     return out
