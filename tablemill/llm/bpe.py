@@ -19,8 +19,10 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import Published, prepare, read_table
+from tablemill.llm.common import Memo, Published, prepare, read_table
 
 #: The pre-tokenizer's published pattern. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a text that are split at once, and pieces that a worker's memo holds.
-SLICE, MEMO_PIECES = 1 << 16, 200_000
+SLICE, MEMO_PIECES = 1 << 16, 150_000
+#: Longer pieces go through the transducer.
+LONG_PIECE = 48
+#: Between other characters a single space starts a piece, so a text without this can be cut before each space.
+NEAR_SPACE = re.compile(r"\s | \s")
 #: Tokens that are decoded at once.
 DECODE_AT_ONCE = 1 << 15
 #: A piece ends for sure if this many characters follow it: a contraction has three.
@@ -56,9 +62,14 @@ class MergeList:
     def __init__(self, merges: list[tuple[int, int, int]], token_bytes: list[bytes], byte_ids: list[int]):
         self.token_bytes, self.byte_ids = token_bytes, byte_ids
         self.merges = merges
-        self.pairs = {}
-        for rank, (a, b, c) in enumerate(merges):
-            self.pairs.setdefault((a, b), (rank, c))
+
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, merged id) by pair of ids."""
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, (a, b, c) in enumerate(self.merges):
+            found.setdefault((a, b), (rank, c))
+        return found
 
     @cached_property
     def lookahead(self) -> list[int]:
@@ -97,25 +108,95 @@ class MergeList:
 
     def merge(self, data: bytes) -> list[int]:
         """All merges inside data."""
-        ids = [self.byte_ids[b] for b in data]
-        return self._short(ids) if len(ids) <= 48 else self._long(ids)
-
-    def _short(self, ids: list[int]) -> list[int]:
-        get = self.pairs.get
-        while len(ids) > 1:
-            best = min((f for f in map(get, zip(ids, ids[1:])) if f), default=None)  # noqa: B905
-            if best is None:
+        if len(data) <= LONG_PIECE:
+            return np.frombuffer(self.short(data), dtype="<u4").tolist()
+        return self._long([self.byte_ids[b] for b in data])
+
+    @cached_property
+    def _letters(self) -> tuple[str, dict, list]:
+        """Tokens as single characters: those of bytes; rank by pair; (pair, merged) by rank."""
+        char = lambda k: chr(k if k < 0xD800 else k + 0x800)
+        ranks: dict[tuple[str, str], int] = {}
+        rules = []
+        for rank, (a, b, c) in enumerate(self.merges):
+            ranks.setdefault((char(a), char(b)), rank)
+            rules.append((char(a) + char(b), char(c)))
+        return "".join(char(k) for k in self.byte_ids), ranks, rules
+
+    def short(self, data: bytes) -> bytes:
+        """All merges inside a few bytes; ids as little-endian 32-bit bytes."""
+        letters, ranks, rules = self._letters
+        text, get, none = "".join([letters[b] for b in data]), ranks.get, repeat(len(rules))
+        while len(text) > 1:
+            best = min(map(get, zip(text, text[1:]), none))  # noqa: B905
+            if best == len(rules):
                 break
-            rank, new, out, k = best[0], best[1], [], 0
-            while k < len(ids):
-                if k + 1 < len(ids) and (f := get((ids[k], ids[k + 1]))) and f[0] == rank:
-                    out.append(new)
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
-        return ids
+            text = text.replace(*rules[best])
+        ids = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        return (ids - 0x800 * (ids > 0xD800)).astype("<u4").tobytes() if self._high else ids.tobytes()
+
+    @cached_property
+    def _high(self) -> bool:
+        return len(self.token_bytes) > 0xD800
+
+    @cached_property
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted pair keys with their ranks, merged ids by rank, and ranks of byte pairs."""
+        keys = {}
+        for rank, (a, b, _) in enumerate(self.merges):
+            keys.setdefault(a << 32 | b, rank)
+        pairs = np.array(sorted(keys), dtype=np.int64)
+        ranks = np.array([keys[k] for k in pairs.tolist()] + [len(self.merges)], dtype=np.int32)
+        merged = np.array([c for _, _, c in self.merges], dtype=np.int64)
+        of_bytes = np.array([[keys.get(a << 32 | b, len(self.merges)) for b in self.byte_ids] for a in self.byte_ids], dtype=np.int32)
+        return pairs, ranks, merged, of_bytes
+
+    def bulk(self, data: list[bytes]) -> list[bytes]:
+        """short() of many pieces of 1 to LONG_PIECE bytes: one merge of each piece a round."""
+        out: list[bytes] = [b""] * len(data)
+        order = sorted(range(len(data)), key=lambda k: len(data[k]))
+        for at in range(0, len(order), 2048):
+            some = order[at : at + 2048]
+            for k, ids in zip(some, self._rounds([data[k] for k in some]), strict=True):
+                out[k] = ids
+        return out
+
+    def _rounds(self, data: list[bytes]) -> list[bytes]:
+        pairs, ranks, merged, of_bytes = self._tables
+        none, size, width = len(self.merges), np.array([len(d) for d in data]), max(map(len, data)) + 1
+        flat = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), dtype=np.uint8).reshape(-1, width)
+        ids = np.array(self.byte_ids, dtype=np.int64)[flat]
+        rank = of_bytes[flat[:, :-1], flat[:, 1:]]
+        rank[np.arange(width - 1) >= size[:, None] - 1] = none
+        done = np.full((len(data), width), 0, dtype="<u4")
+        live, left = np.arange(len(data)), size.copy()
+        shift = np.arange(width)
+        while len(live):
+            at = rank.argmin(axis=1)
+            row = np.arange(len(live))
+            best = rank[row, at]
+            stay = best < none
+            if not stay.all():
+                done[live[~stay]] = ids[~stay]
+                live, left, ids, rank, at, best = live[stay], left[stay], ids[stay], rank[stay], at[stay], best[stay]
+                row = np.arange(len(live))
+                if not len(live):
+                    break
+            source = np.minimum(shift + (shift > at[:, None]), width - 1)
+            ids = ids[row[:, None], source]
+            ids[row, at] = merged[best]
+            rank = rank[row[:, None], np.minimum(source[:, :-1], width - 2)]
+            left = left - 1
+            size[live] = left
+            for j in (at - 1, at):
+                key = ids[row, np.maximum(j, 0)] << 32 | ids[row, np.maximum(j, 0) + 1]
+                spot = np.searchsorted(pairs, key)
+                hit = (j >= 0) & (j < left - 1) & (pairs[np.minimum(spot, len(pairs) - 1)] == key)
+                new = np.where(hit, ranks[np.minimum(spot, len(pairs))], none)
+                rank[row[j >= 0], j[j >= 0]] = new[j >= 0]
+            rank[row, np.minimum(left - 1, width - 2)] = none
+        bytes_, ends = done[np.arange(width) < size[:, None]].tobytes(), np.cumsum(size) * 4
+        return [bytes_[e - 4 * n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
 
     def _long(self, ids: list[int]) -> list[int]:
         get, n = self.pairs.get, len(ids)
@@ -166,20 +247,28 @@ class Transducer:
             self.held = self.held[end:]
 
 
-class Pieces(dict):
-    """Memo from a piece to its ids as little-endian 32-bit bytes."""
+class Pieces(Memo):
+    """Ids of a piece of the pre-tokenizer, as little-endian 32-bit bytes."""
 
-    def __init__(self, merges: MergeList):
+    def __init__(self, merges: MergeList, size: int = MEMO_PIECES):
+        super().__init__(size)
         self.merges = merges
 
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        if len(data) > 64:
-            return np.fromiter(Transducer(self.merges).feed(data, last=True), dtype="<u4").tobytes()
-        if len(self) >= MEMO_PIECES:
-            self.clear()
-        out = self[piece] = np.array(self.merges.merge(data), dtype="<u4").tobytes()
-        return out
+    def make(self, piece: str) -> bytes:
+        if len(piece) > LONG_PIECE:
+            return np.fromiter(Transducer(self.merges).feed(piece.encode(), last=True), dtype="<u4").tobytes()
+        return self.merges.short(piece.encode())
+
+
+class Segments(Memo):
+    """Ids of a single space and the text up to the next one, as little-endian 32-bit bytes."""
+
+    def __init__(self, pieces: Pieces, pattern, size: int = MEMO_PIECES):
+        super().__init__(size)
+        self.pieces, self.pattern = pieces, pattern
+
+    def make(self, segment: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(" " + segment)))
 
 
 class Codec:
@@ -205,6 +294,7 @@ class Codec:
             self.table[k] = text.encode()
         self.pieces = Pieces(self.merges)
         self.pattern = regex.compile(PATTERN)
+        self.segments = Segments(self.pieces, self.pattern)
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
@@ -226,12 +316,28 @@ class Codec:
                 yield run
             start, size = at, SLICE if run else 2 * size
 
+    def prime(self, texts: list[str]) -> None:
+        """Put the new segments of some texts into the memo, with all their merges run together."""
+        segments = self.segments
+        new = {x for t in texts if len(t) <= SLICE for x in t.split(" ")[1:] if x not in segments and x not in segments.old}
+        parts = {x: [" " + x] if x.isalpha() else self.pattern.findall(" " + x) for x in new}
+        pieces = list({p for ps in parts.values() for p in ps if p not in self.pieces and p not in self.pieces.old})
+        data = [p.encode() for p in pieces]
+        short = [k for k, d in enumerate(data) if len(d) <= LONG_PIECE]
+        self.pieces.put({pieces[k]: ids for k, ids in zip(short, self.merges.bulk([data[k] for k in short]), strict=True)})
+        get = self.pieces.__getitem__
+        segments.put({x: b"".join(map(get, ps)) for x, ps in parts.items()})
+
     def encode(self, text: str) -> Iterator[bytes]:
         """Runs of ids as little-endian 32-bit bytes."""
-        get = self.pieces.__getitem__
+        get, after = self.pieces.__getitem__, self.segments.__getitem__
         for k, part in enumerate(self.cut.split(text) if self.cut and "<" in text else (text,)):
             if k % 2:
                 yield np.array([self.special[part]], dtype="<u4").tobytes()
+            elif part and len(part) <= SLICE and not NEAR_SPACE.search(part):
+                head, *tail = part.split(" ")
+                yield b"".join(map(get, self.pattern.findall(head)))
+                yield b"".join(map(after, tail))
             elif part:
                 for run in self.split(part):
                     yield b"".join(map(get, run))
@@ -266,7 +372,9 @@ def _round_trip(vocabulary, schema: pa.Schema, emit_ids: bool):
         codec = vocabulary.made(Codec)
         for batch in batches:
             counts, id_hashes, text_hashes, ids = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            texts = batch.column(batch.schema.names.index("text")).to_pylist()
+            codec.prime([t for t in texts if t])
+            for text in texts:
                 runs, id_hash, text_hash = list(codec.encode(text or "")), hashlib.sha256(), hashlib.sha256()
                 for x in runs:
                     id_hash.update(x)

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch for Python. Texts can be long, so batches hold few rows.
 BATCH_ROWS = 256
-#: Entries of a worker's word memo before it is emptied.
-MEMO_WORDS = 200_000
+#: Entries of each of the two generations of a worker's memo.
+MEMO_WORDS = 150_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -64,14 +64,38 @@ def drop(df: DataFrame) -> None:
         _delete(sc._jvm, sc._jsc.hadoopConfiguration(), path)
 
 
-class WordHashes(dict):
-    """Memo from a word's bytes to a 64-bit hash; emptied when it is full."""
+class Memo(dict):
+    """Results by key in two generations: frequent keys outlive the rare ones, and both are bounded."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
+    def __init__(self, size: int = MEMO_WORDS):
+        self.size, self.old = size, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def put(self, values: dict) -> None:
+        """Add several results at once; a generation may pass its size by them."""
+        if len(self) + len(values) > self.size:
+            self.old = dict(self)
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        self.update(values)
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
+class WordHashes(Memo):
+    """64-bit hash of a word's bytes."""
+
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
 def byte_texts(column: pa.Array) -> list:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import MEMO_WORDS, Published, _coefficients, byte_texts, mixed, prepare, read_table, shared
+from tablemill.llm.common import Memo, Published, _coefficients, byte_texts, mixed, prepare, read_table, shared
 
 #: Word positions that each mask looks at.
 MASKS = ((0, 1, 2, 4, 7, 9), (0, 1, 3, 6, 8, 9), (0, 2, 3, 5, 8, 9), (0, 1, 2, 3, 4, 5))
@@ -33,20 +33,17 @@ BLOCK_SEEDS = 200_000
 _BY = _coefficients(16, 23)
 
 
-class NormalHashes(dict):
-    """Memo from a raw word to the hash of its lower-case form without outer punctuation; 0: none."""
+class NormalHashes(Memo):
+    """Hash of a raw word's lower-case form without outer punctuation; 0 if nothing is left."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
+    def make(self, word: bytes) -> int:
         text = word.decode(errors="replace").casefold()
         a, b = 0, len(text)
         while a < b and not text[a].isalnum():
             a += 1
         while b > a and not text[b - 1].isalnum():
             b -= 1
-        h = self[word] = (xxhash.xxh3_64_intdigest(text[a:b].encode()) | 1) if a < b else 0
-        return h
+        return xxhash.xxh3_64_intdigest(text[a:b].encode()) | 1 if a < b else 0
 
 
 def normal_words(text: bytes, memo: NormalHashes) -> np.ndarray:
