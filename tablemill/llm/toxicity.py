@@ -26,11 +26,13 @@ from tablemill.llm.common import Published, byte_texts, prepare, read_table
 WINDOW, STRIDE = 16, 8
 #: Longer words are cut into pieces of so many characters.
 WORD_CHARS = 24
-#: Labelled documents to learn from, at most: toxic, other; and candidates read for each.
-SAMPLE, CANDIDATES, SAMPLE_CHARS = (500, 700), 2, 1600
+#: Labelled documents to learn from, at most: toxic, other; candidates read for each, and their characters at most.
+#: The shortest candidates are taken, up to TOTAL_CHARS by label.
+SAMPLE, CANDIDATES, SAMPLE_CHARS, TOTAL_CHARS = (500, 700), 2, 6000, 700_000
 #: The likest wrong candidates that join the sample for HARD_EPOCHS more.
 HARD, HARD_EPOCHS = 300, 3
-EPOCHS, RATE, BATCH_DOCS = 5, 0.01, 24
+#: A small sample is run over until it has made LEAST_STEPS.
+EPOCHS, RATE, BATCH_DOCS, LEAST_STEPS = 5, 0.01, 16, 320
 CHARS, CHAR_DIM, CHAR_H, WORD_DIM, WORD_H = 96, 8, 8, 8, 8
 THRESHOLD = 0.3
 #: Words whose inputs a worker keeps.
@@ -236,6 +238,7 @@ class Network:
         first, second = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         losses, n = [], 0
         batches = max(1, -(-len(docs) // BATCH_DOCS))
+        epochs = max(epochs, -(-LEAST_STEPS * epochs // (EPOCHS * batches)))
         for epoch in range(epochs):
             pace = rate * (1 - 0.8 * epoch / max(1, epochs - 1))
             loss = 0.0
@@ -345,15 +348,19 @@ def runs_of(text: bytes) -> Iterator[list[bytes]]:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Network:
-    """A network from short labelled documents, in order: the first SAMPLE of each label, then the
-    others of label 0 that it takes for 1. The shift puts THRESHOLD between the labels."""
+    """A network from labelled documents: the shortest of each label, then the others of label 0
+    that it takes for 1. The shift puts THRESHOLD between the labels."""
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
         network = Network({}, seed)
+        network.p["out"][:] = 0
         network.shift = 2.0 if len(y) and y[0] else -2.0
         return network
     docs = [[x for w in t.encode().split() for x in pieces_of(w)] or ["-"] for t in texts]
-    first = np.concatenate([np.flatnonzero(y == 1)[: SAMPLE[0]], np.flatnonzero(y == 0)[: SAMPLE[1]]])
+    size = np.array([len(t) for t in texts])
+    by_size = np.argsort(size, kind="stable")
+    chosen = [by_size[y[by_size] == 1 - k][:n] for k, n in enumerate(SAMPLE)]
+    first = np.concatenate([c[np.cumsum(size[c]) <= TOTAL_CHARS] for c in chosen])
     count = Counter(w for k in first for w in set(docs[k]))
     often = sorted((w for w, n in count.items() if n >= 4), key=lambda w: (-count[w], w))[:10_000]
     network = Network({w: k + 1 for k, w in enumerate(often)}, seed)
