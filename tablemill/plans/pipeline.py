@@ -65,7 +65,10 @@ class Pipeline:
         for step in self.steps:
             wanted = [find(df, c) for c in step.get("columns", [])]
             if all(wanted):
-                after = apply(df, step, wanted)
+                try:
+                    after = apply(df, step, wanted)
+                except (columns.FormulaError, ValueError):
+                    continue
                 if after.columns == df.columns and wanted:
                     marked = rewritten(df, step, wanted)
                     n = df.agg(*[F.count_if(~F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).eqNullSafe(x)).alias(c) for c, x in marked.items()]).first()
