@@ -69,8 +69,7 @@ class Pipeline:
                     after = apply(df, step, wanted)
                 except (columns.FormulaError, ValueError):
                     continue
-                if after.columns == df.columns and wanted:
-                    marked = rewritten(df, step, wanted)
+                if marked := rewritten(df, step, wanted):
                     n = df.agg(*[F.count_if(~F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).eqNullSafe(x)).alias(c) for c, x in marked.items()]).first()
                     out.append((step["type"], sum(n)))
                 df = after
