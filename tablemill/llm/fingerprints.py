@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import read_table, written
+from tablemill.llm.common import read_table
 
 LEAF = 40
 SECTION = "4"
+#: Ranges that ids are cut into at most.
+RANGES = 4096
 
 
 def fingerprint(text: str) -> Column:
@@ -66,20 +68,47 @@ def differing_paragraphs(a: str, b: str) -> Column:
     )
 
 
-def neighbours(ids: DataFrame) -> DataFrame:
-    """(doc_id, other columns) with distinct ids to those columns and next_id: the next lower id, after the last the highest.
+def range_bounds(ids: DataFrame) -> list[int]:
+    """Ids that cut the documents into ranges of about equal size: as many as shuffle partitions, RANGES at most."""
+    k = min(RANGES, max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)] or [0.5], 100 * k)).first()[0]
+    return sorted(set(cuts or []))
 
-    Ids are dealt by ranges; inside a range a window finds the next, and only the first id of each
-    range, one row a partition, meets in one place.
+
+def range_of(bounds: list[int]) -> Column:
+    """The range of doc_id, by two lookups among at most 64 cuts each."""
+    step = 64
+    if len(bounds) <= step:
+        return F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda x: x <= F.col("doc_id"))) if bounds else F.lit(0)
+    heads = bounds[::step]
+    parts = ", ".join(f"array({', '.join(f'{x}L' for x in bounds[k : k + step])})" for k in range(0, len(bounds), step))
+    coarse = f"size(filter(array({', '.join(f'{x}L' for x in heads)}), x -> x <= doc_id))"
+    return F.expr(f"transform(array({coarse}), c -> if(c = 0, 0, (c - 1) * {step} + size(filter(array({parts})[c - 1], x -> x <= doc_id))))[0]")
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with fingerprint, next_text and next_fingerprint; the next document is the next lower doc_id, after the last the highest.
+
+    The texts are dealt once, by ranges of ids, and a window inside each range finds the next. The
+    first document of each range is dealt to the range before it as well (one row a range), so the
+    last document there finds it; only the ranges' first ids, RANGES at most, meet in one place.
     """
-    ranged = written(ids.repartitionByRange(F.desc("doc_id")).withColumn("part", F.spark_partition_id()))
-    firsts = ranged.groupBy("part").agg(F.max("doc_id").alias("first"))
-    one = Window.orderBy("part")
-    firsts = firsts.select("part", F.lead("first").over(one).alias("following"), F.max("first").over(Window.partitionBy()).alias("highest"))
-    return ranged.join(F.broadcast(firsts), "part").select(
-        *ids.columns,
-        F.coalesce(F.lead("doc_id").over(Window.partitionBy("part").orderBy(F.desc("doc_id"))), "following", "highest").alias("next_id"),
-    )
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    part = range_of(range_bounds(ids)).cast("int")
+    firsts = ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("doc_id"))
+    one = Window.orderBy(F.desc("part"))
+    before = firsts.select("doc_id", F.coalesce(F.lag("part").over(one), F.min("part").over(Window.partitionBy())).alias("part"))
+    guests = docs.join(F.broadcast(before), "doc_id").select("doc_id", "text", "part", F.lit(1).alias("guest"))
+    own = docs.select("doc_id", "text", part.alias("part"), F.lit(0).alias("guest"))
+    dealt = own.union(guests).repartition("part").withColumn("fingerprint", fingerprint("text"))
+    w = Window.partitionBy("part").orderBy("guest", F.desc("doc_id"), "text")
+    nothing = F.lit("")
+    known = F.col("doc_id").isNotNull()
+    return dealt.select(
+        "doc_id", "text", "fingerprint", "guest",
+        F.when(known, F.lead("text").over(w)).otherwise(nothing).alias("next_text"),
+        F.when(known, F.lead("fingerprint").over(w)).otherwise(nothing).alias("next_fingerprint"),
+    ).filter("guest = 0")
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
@@ -87,29 +116,13 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text of a document has its last floor(n_chars / 2) code points replaced by the first
     as many (or all) of the next document, by descending doc_id, after the last the first. Null
-    texts are empty. A null doc_id has no next document, so it meets an empty text; of rows that
-    repeat a doc_id the one of least text is the next document. An empty table gives an empty result.
+    texts are empty. Rows that repeat a doc_id are documents of their own, in order of text; a null
+    doc_id has no next document, so it meets an empty text, and is nobody's next. An empty table
+    gives an empty result; columns but doc_id and text are not read.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "fingerprint", fingerprint("text")
-    ).repartition("doc_id")
-    sizes = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        (F.max(F.length(F.coalesce("text", F.lit("")))) / 2).cast("int").alias("need")
-    )
-    pairs = written(neighbours(sizes))
-    heads = (
-        own.join(pairs.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "need"), "doc_id")
-        .select(F.col("for_id").alias("doc_id"), F.expr("left(text, need)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
-        .groupBy("doc_id").agg(F.min(F.struct("head", "next_fingerprint")).alias("next"))
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     half = "int(floor(length(text) / 2))"
-    edited = own.join(heads, "doc_id", "left").select(
-        "doc_id",
-        "text",
-        "fingerprint",
-        F.expr(f"concat(left(text, length(text) - {half}), left(coalesce(next.head, ''), {half}))").alias("edited"),
-        F.coalesce("next.next_fingerprint", F.lit("")).alias("next_fingerprint"),
-    )
+    edited = with_next(rows).withColumn("edited", F.expr(f"concat(left(text, length(text) - {half}), left(next_text, {half}))"))
     return edited.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
