@@ -16,4 +16,4 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat.ORACLE_SQL}

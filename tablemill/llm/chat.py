@@ -177,3 +177,15 @@ def op7_chat_formatting(spark, sf_dir: str) -> DataFrame:
         F.sha2("under", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+_ESCAPES = r"length({0}) - length(replace({0}, '\', '')) + len(regexp_extract_all({0}, '<\||</?s>|\[/?INST\]|<</?SYS>>|<end_of_turn>|<start_of_turn>'))"
+#: The query in DuckDB SQL: digests of the turns, and lengths with the escapes that the template adds.
+ORACLE_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+             string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text) AS loss,
+             CAST(sum({len(START) + len(END) + 2} + length(role) + length(text) + {_ESCAPES.format("role")} + {_ESCAPES.format("text")}) AS BIGINT) AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM t"""
