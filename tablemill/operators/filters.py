@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemill.functions.dates import parse_date
 from tablemill.functions.infer import violates
 from tablemill.functions.order import natural, typed_value
 from tablemill.functions.text import col, let, normal, search_key, trimmed
@@ -70,8 +71,38 @@ def complete(rule: Rule) -> bool:
     return rule.value not in (None, "")
 
 
-def condition(rule: Rule) -> Column:
-    """The rule as a boolean that is never null. Empty cells match only empty, or a list with a blank."""
+def _typed_bound(value, kind: str, dtype: str) -> Column | None:
+    """A bound as a literal for a column that Spark has typed itself, read once on the driver; None if it can't be."""
+    if isinstance(value, (int, float)):
+        return F.lit(float(value))
+    one = SparkSession.active().sql("SELECT 1 AS one")
+    if kind == "number":
+        x = one.select(_bound(value, kind)).first()[0]
+        return None if x is None else F.lit(x)
+    d = one.select(parse_date(F.lit(str(value)))["date"]).first()[0]
+    if d is None:
+        return None
+    text = f"{d.year:04}-{d.month:02}-{d.day:02} {d.hour:02}:{d.minute:02}:{d.second:02}"
+    return F.lit(text).cast("timestamp" if dtype == "date" else dtype)
+
+
+def _sized(op: str, x: Column, low: Column, high: Column | None) -> Column:
+    if op == "between":
+        return x.between(F.least(low, high), F.greatest(low, high))
+    return {"more": x > low, "at_least": x >= low, "less": x < low, "at_most": x <= low}[op]
+
+
+def condition(rule: Rule, dtype: str = "string") -> Column:
+    """The rule as a boolean that is never null. Empty cells match only empty, or a list with a blank.
+
+    Sizes of columns that aren't text compare as they are, so they reach the scan as pushed filters.
+    """
+    if rule.op in SIZE_OPS and dtype != "string":
+        bounds = [_typed_bound(x, rule.kind, dtype) for x in ((rule.value, rule.upper) if rule.op == "between" else (rule.value,))]
+        if any(b is None for b in bounds):
+            return F.lit(False)
+        own = F.col(f"`{rule.column}`")
+        return own.isNotNull() & _sized(rule.op, own, bounds[0], bounds[-1])
     c = F.coalesce(F.col(f"`{rule.column}`").cast("string"), F.lit(""))
     filled = c != ""
     op, value = rule.op, rule.value
@@ -92,15 +123,8 @@ def condition(rule: Rule) -> Column:
         size = F.length(trimmed(normal(c)))
         return filled & (size > int(value) if op == "longer" else size < int(value))
     if op in SIZE_OPS:
-        low = _bound(value, rule.kind)
-
-        def sized(x):
-            if op == "between":
-                high = _bound(rule.upper, rule.kind)
-                return x.between(F.least(low, high), F.greatest(low, high))
-            return {"more": x > low, "at_least": x >= low, "less": x < low, "at_most": x <= low}[op]
-
-        return F.coalesce(let(typed_value(c, rule.kind), sized), F.lit(False))
+        low, high = _bound(value, rule.kind), _bound(rule.upper, rule.kind) if op == "between" else None
+        return F.coalesce(let(typed_value(c, rule.kind), lambda x: _sized(op, x, low, high)), F.lit(False))
     want = _key(F.lit(str(value)), rule.case)
     tests = {
         "is": lambda k: k == want, "is_not": lambda k: k != want, "contains": lambda k: k.contains(want), "contains_not": lambda k: ~k.contains(want),
@@ -121,11 +145,12 @@ def rule_error(rule: Rule) -> str | None:
     return None
 
 
-def predicate(spec: Filter) -> tuple[Column | None, list[str]]:
+def predicate(spec: Filter, types: dict[str, str] | None = None) -> tuple[Column | None, list[str]]:
     """The filter as one boolean (None: everything passes) and the errors of broken rules."""
+    types = types or {}
     rules = [r for r in spec.rules if complete(r)]
     errors = [e for r in rules if (e := rule_error(r))]
-    good = [condition(r) for r in rules if not rule_error(r)]
+    good = [condition(r, types.get(r.column, "string")) for r in rules if not rule_error(r)]
     if not good:
         return None, errors
     whole = reduce(or_ if spec.any else and_, good)
@@ -134,7 +159,7 @@ def predicate(spec: Filter) -> tuple[Column | None, list[str]]:
 
 def apply_filter(df: DataFrame, spec: Filter) -> DataFrame:
     """Rows that pass; without a usable rule all do, inverted or not."""
-    p, _ = predicate(spec)
+    p, _ = predicate(spec, dict(df.dtypes))
     return df if p is None else df.filter(p)
 
 
