@@ -369,7 +369,7 @@ def load_vocabulary(spark, path: str | None = None):
 
 def _round_trip(vocabulary, schema: pa.Schema, emit_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = vocabulary.made(Codec)
+        codec = vocabulary.made("bpe", Codec)
         for batch in batches:
             counts, id_hashes, text_hashes, ids = [], [], [], []
             texts = batch.column(batch.schema.names.index("text")).to_pylist()

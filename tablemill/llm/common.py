@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of an Arrow batch for Python. Texts can be long, so batches hold few rows.
 BATCH_ROWS = 256
 #: Entries of each of the two generations of a worker's memo.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 120_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -167,10 +167,15 @@ class MinHasher:
 
 
 _SHARED: dict = {}
+_GROUP: list = [None]
 
 
-def shared(key, make):
-    """make() once per Python worker and key."""
+def shared(group: str, key, make):
+    """make() once per Python worker, operator group and key. A worker holds one group's objects only,
+    so what one stage keeps doesn't burden the next one's memory."""
+    if _GROUP[0] != group:
+        _SHARED.clear()
+        _GROUP[0] = group
     if key not in _SHARED:
         _SHARED[key] = make()
     return _SHARED[key]
@@ -183,9 +188,10 @@ class Published:
         self.name = uuid.uuid4().hex
         self.broadcast = spark.sparkContext.broadcast(value)
 
-    def made(self, make):
-        """make(value), once per Python worker."""
+    def made(self, group: str, make):
+        """make(value), once per Python worker while it works for this group; an older one of the kind goes."""
         kind = f"{make.__module__}.{make.__qualname__}"
-        if len(old := [k for k in _SHARED if k[0] == kind and k[1] != self.name]) > 3:
-            del _SHARED[old[0]]
-        return shared((kind, self.name), lambda: make(self.broadcast.value))
+        if _GROUP[0] == group:
+            for old in [k for k in _SHARED if k[0] == kind and k[1] != self.name]:
+                del _SHARED[old]
+        return shared(group, (kind, self.name), lambda: make(self.broadcast.value))

@@ -145,8 +145,8 @@ def _loaded(block: Block):
 
 def _find(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table, shift = block.made(_loaded)
-        memo = shared(("normal",), NormalHashes)
+        own, table, shift = block.made("decontaminate", _loaded)
+        memo = shared("decontaminate", ("normal",), NormalHashes)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
@@ -160,8 +160,8 @@ def _find(block):
 
 def _filter(block, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table, shift = block.made(_loaded)
-        memo = shared(("normal",), NormalHashes)
+        own, table, shift = block.made("decontaminate", _loaded)
+        memo = shared("decontaminate", ("normal",), NormalHashes)
         for batch in batches:
             texts = byte_texts(batch.column(batch.schema.names.index(column)))
             yield batch.filter(pa.array([not own.overlaps(normal_words(t or b"", memo), table, shift) for t in texts], pa.bool_()))

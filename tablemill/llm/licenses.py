@@ -144,7 +144,7 @@ class Classifier:
 
 def _scan(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier, memo = model.made(_same), shared(("normal",), NormalHashes)
+        classifier, memo = model.made("licenses", _same), shared("licenses", ("normal",), NormalHashes)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):

@@ -21,7 +21,7 @@ SKETCH = "doc_id long, n long, s1 long, s2 long, bands array<bigint>"
 
 def _sketch(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, memo = shared(("minhash", bands, rows), lambda: MinHasher(bands, rows)), shared(("words",), WordHashes)
+        hasher, memo = shared("near", ("minhash", bands, rows), lambda: MinHasher(bands, rows)), shared("near", ("words",), WordHashes)
         for batch in batches:
             n, keys, out = [], [], []
             for text in byte_texts(batch.column(1)):

@@ -170,7 +170,7 @@ def links_in_block(ids, texts, chunks, hasher: MinHasher, percent: int, memo: Wo
 
 def _verify(bands: int, rows: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, memo = shared(("minhash", bands, rows), lambda: MinHasher(bands, rows)), shared(("words",), WordHashes)
+        hasher, memo = shared("near", ("minhash", bands, rows), lambda: MinHasher(bands, rows)), shared("near", ("words",), WordHashes)
         key, held = None, ([], [], [])
 
         def flush():

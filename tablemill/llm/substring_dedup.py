@@ -36,7 +36,7 @@ PARAGRAPHS = "doc_id long, idx int, n_words int, n long, s1 long, s2 long, bands
 
 def _paragraphs(min_words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, memo = shared(("minhash", bands, rows), lambda: MinHasher(bands, rows)), shared(("words",), WordHashes)
+        hasher, memo = shared("near", ("minhash", bands, rows), lambda: MinHasher(bands, rows)), shared("near", ("words",), WordHashes)
         for batch in batches:
             out = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):

@@ -99,7 +99,7 @@ class WordCounts(Memo):
 
 def _counted(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.made(WordCounts).__getitem__
+        get = vocabulary.made("token_counts", WordCounts).__getitem__
         for batch in batches:
             words, tokens = [], []
             for text in byte_texts(batch.column(1)):

@@ -36,7 +36,7 @@ EPOCHS, RATE, BATCH_DOCS, LEAST_STEPS = 5, 0.01, 16, 320
 CHARS, CHAR_DIM, CHAR_H, WORD_DIM, WORD_H = 96, 8, 8, 8, 8
 THRESHOLD = 0.3
 #: Words whose inputs a worker keeps.
-TABLE_WORDS = 250_000
+TABLE_WORDS = 150_000
 #: Windows, or words to learn, that run at once; words of a group of texts; bytes of a run of a long text.
 AT_ONCE, GROUP_WORDS, RUN_BYTES = 4096, 100_000, 1 << 20
 
@@ -413,7 +413,7 @@ def _scored(model, schema_names: list[str] | None, column: str):
     """Scores by document, or with schema_names None the rows that stay below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.made(Scorer)
+        scorer = model.made("toxicity", Scorer)
         for batch in batches:
             texts = byte_texts(batch.column(batch.schema.names.index(column)))
             scores = scorer.many(texts)
