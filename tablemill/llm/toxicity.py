@@ -25,7 +25,7 @@ from tablemill.llm.common import Published, byte_texts, prepare, read_table
 
 WINDOW, STRIDE = 16, 8
 #: Longer words are cut into pieces of so many characters.
-WORD_CHARS = 24
+WORD_CHARS = 16
 #: Labelled documents to learn from, at most: toxic, other; candidates read for each, and their characters at most.
 #: The shortest candidates are taken, up to TOTAL_CHARS by label.
 SAMPLE, CANDIDATES, SAMPLE_CHARS, TOTAL_CHARS = (500, 700), 2, 6000, 700_000
@@ -163,14 +163,19 @@ class Network:
         return out
 
     def word_vectors(self, words: list[str], keep=None):
-        p, chars = self.p, self.char_ids(words)
-        mask = (chars > 0).astype(np.float32)
-        x = p["chars"][chars]
-        pooled, tape = CHAR.forward(p, x @ p["char_wf"] + p["char_bf"], x @ p["char_wb"] + p["char_bb"], mask)
+        """(n, width) vectors of words sorted by length, and a tape; short and long words run apart."""
+        p, half = self.p, len(words) // 2
+        pooled, tapes = [], []
+        for part in (words[:half], words[half:]) if half else (words,):
+            chars = self.char_ids(part)
+            x = p["chars"][chars]
+            out, tape = CHAR.forward(p, x @ p["char_wf"] + p["char_bf"], x @ p["char_wb"] + p["char_bb"], (chars > 0).astype(np.float32))
+            pooled.append(out)
+            tapes.append((chars, x, tape))
         own = np.array([self.vocabulary.get(w, 0) for w in words])
         if keep is not None:
             own = own * keep
-        return np.concatenate([p["words"][own], pooled], axis=1), (chars, x, tape, own)
+        return np.concatenate([p["words"][own], np.concatenate(pooled)], axis=1), (tapes, own)
 
     def gates(self, words: list[str]) -> np.ndarray:
         """(n, 6H) inputs of both directions of the word network."""
@@ -189,9 +194,9 @@ class Network:
     def step(self, docs: list[list[str]], labels: np.ndarray, rng) -> tuple[float, dict]:
         """Loss and gradients of a batch of documents, as lists of words."""
         p, g = self.p, {}
-        words = sorted({w for d in docs for w in d})
+        words = sorted({w for d in docs for w in d}, key=lambda w: (len(w), w))
         place = {w: k for k, w in enumerate(words)}
-        v, (chars, x, char_tape, own) = self.word_vectors(words, rng.random(len(words)) < 0.5)
+        v, (tapes, own) = self.word_vectors(words, rng.random(len(words)) < 0.5)
         parts = [windows_of(np.array([place[w] for w in d])) for d in docs]
         owner = np.repeat(np.arange(len(docs)), [len(w) for w in parts])
         at = np.concatenate(parts).T
@@ -222,14 +227,21 @@ class Network:
         g["words"] = np.zeros_like(p["words"])
         np.add.at(g["words"], own, dv[:, :WORD_DIM])
         g["words"][0] = 0
-        dcf, dcb = CHAR.backward(p, g, dv[:, WORD_DIM:], char_tape)
-        flat, dx = x.reshape(-1, CHAR_DIM), np.zeros((x.shape[0] * x.shape[1], CHAR_DIM), np.float32)
-        for d, dg in (("f", dcf), ("b", dcb)):
-            dg = dg.reshape(-1, dg.shape[2])
-            g[f"char_w{d}"], g[f"char_b{d}"] = flat.T @ dg, dg.sum(axis=0)
-            dx += dg @ p[f"char_w{d}"].T
-        g["chars"] = np.zeros_like(p["chars"])
-        np.add.at(g["chars"], chars.reshape(-1), dx)
+        g["chars"], first = np.zeros_like(p["chars"]), 0
+        for chars, x, tape in tapes:
+            some: dict[str, np.ndarray] = {}
+            last = first + chars.shape[1]
+            dcf, dcb = CHAR.backward(p, some, dv[first:last, WORD_DIM:], tape)
+            first = last
+            flat, dx = x.reshape(-1, CHAR_DIM), 0
+            for d, dg in (("f", dcf), ("b", dcb)):
+                dg = dg.reshape(-1, dg.shape[2])
+                some[f"char_w{d}"], some[f"char_b{d}"] = flat.T @ dg, dg.sum(axis=0)
+                dx = dx + dg @ p[f"char_w{d}"].T
+            at = chars.reshape(-1)
+            some["chars"] = np.stack([np.bincount(at, dx[:, k], CHARS + 1) for k in range(CHAR_DIM)], axis=1).astype(p["chars"].dtype)
+            for k, x_ in some.items():
+                g[k] = g[k] + x_ if k in g else x_
         return float(loss), g
 
     def fit(self, docs: list[list[str]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 3) -> list[float]:

@@ -56,7 +56,14 @@ def test_long_texts_score_like_their_parts(monkeypatch):
     assert toxicity.Scorer(scorer.network).many([text, b"a b", b""])[0] == pytest.approx(whole, abs=0.02)
 
 
-def test_held_out_accuracy_and_edges(spark):
+@pytest.fixture(scope="module")
+def trained(spark):
+    return toxicity.learned(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
+
+
+def test_held_out_accuracy_and_edges(spark, trained, monkeypatch):
+    learned = toxicity.learned
+    monkeypatch.setattr(toxicity, "learned", lambda docs, labels: trained)
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     extra = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (None, "x y"), (10**6 + 1, "")], "doc_id long, text string")
     df = toxicity.toxicity(docs.select("doc_id", "text").union(extra), labels)
@@ -66,11 +73,13 @@ def test_held_out_accuracy_and_edges(spark):
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
     assert sum(p == y for p, y in held) / len(held) > 0.9
+    monkeypatch.setattr(toxicity, "learned", learned)
     none = toxicity.toxicity(docs.limit(3), labels.limit(0))
     assert len({r.score for r in none.collect()}) == 1 and toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
-def test_stage_keeps_clean_rows_whole(spark):
+def test_stage_keeps_clean_rows_whole(spark, trained, monkeypatch):
+    monkeypatch.setattr(toxicity, "learned", lambda docs, labels: trained)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = toxicity.drop_toxic(spark, docs, SF)
     scored = {r.doc_id for r in toxicity.op2_toxicity(spark, SF).filter("predicted = 0").collect()}
