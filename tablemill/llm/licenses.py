@@ -44,10 +44,18 @@ FEATURES, SAMPLE, PASSES, CONFIRM = 1 << 16, 2000, 40, 0.5
 CERTAIN = 0.5
 
 
+def features_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.int64) % FEATURES
+
+
+def pairs_of(h: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words."""
+    return mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+
+
 def features(h: np.ndarray) -> np.ndarray:
     """Places of a segment's unigrams and bigrams."""
-    two = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    return (np.concatenate([mixed(h), two]) >> np.uint64(48)).astype(np.int64) % FEATURES
+    return features_of(np.concatenate([mixed(h), pairs_of(h)]))
 
 
 def trigrams(h: np.ndarray) -> frozenset:
@@ -120,26 +128,47 @@ class Classifier:
                 past_b += g**2
                 self.b -= 0.1 * g / np.sqrt(past_b)
 
-    def found(self, h: np.ndarray) -> tuple[str, float, float, int] | None:
-        """(family, probability, template similarity, first word) of the best confirmed segment."""
-        parts = segments(h)
-        if not parts:
-            return None
-        at = [features(s) for _, s in parts]
-        size = np.array([len(a) for a in at])
-        sums = np.add.reduceat(self.w[np.concatenate(at)], np.cumsum(size) - size, axis=0)
-        probability = self.soft((sums / np.sqrt(size)[:, None] + self.b) / self.heat)
-        best = None
+    def scan(self, lines: list[np.ndarray]) -> list[tuple[int, str, float, float, int]]:
+        """(line, family, probability, template similarity, first word) of each line's best confirmed segment.
+
+        Class scores of all words and word pairs are summed up once, so a segment's score is a
+        difference of sums, whatever the segments' overlap.
+        """
+        size = np.array([len(h) for h in lines], dtype=np.int64)
+        if not size.sum():
+            return []
+        h, start = np.concatenate(lines), np.cumsum(size) - size
+        ones = self.w[features_of(mixed(h))]
+        twos = self.w[features_of(pairs_of(h))]
+        twos[start[1:][(start[1:] > 0) & (start[1:] < len(h))] - 1] = 0
+        sums = np.zeros((len(h) + 1, ones.shape[1]))
+        np.cumsum(ones, axis=0, dtype=np.float64, out=sums[1:])
+        pair_sums = np.zeros((len(h), ones.shape[1]))
+        np.cumsum(twos, axis=0, dtype=np.float64, out=pair_sums[1:])
+        of_line, first, last = segment_places(size, start)
+        n = 2 * (last - first) - 1
+        logits = (sums[last] - sums[first] + pair_sums[last - 1] - pair_sums[first]) / np.sqrt(n)[:, None] + self.b
+        probability = self.soft(logits / self.heat)
+        best: dict[int, tuple[str, float, float, int]] = {}
         for k in np.flatnonzero(probability[:, 0] < 1 - CERTAIN):
-            own = trigrams(parts[k][1])
+            own, line = trigrams(h[first[k] : last[k]]), int(of_line[k])
             for f in np.argsort(-probability[k])[:3]:
                 if not f or probability[k, f] < CERTAIN / 5:
                     continue
-                family = FAMILIES[f]
-                like = max(len(own & t) / len(t) for t in self.templates[family])
-                if like >= CONFIRM and (best is None or like * probability[k, f] > best[1] * best[2]):
-                    best = (family, float(probability[k, f]), like, parts[k][0])
-        return best
+                like = max(len(own & t) / len(t) for t in self.templates[FAMILIES[f]])
+                old = best.get(line)
+                if like >= CONFIRM and (old is None or like * probability[k, f] > old[1] * old[2]):
+                    best[line] = (FAMILIES[f], float(probability[k, f]), like, int(first[k] - start[line]))
+        return [(line, *x) for line, x in sorted(best.items())]
+
+
+def segment_places(size: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, first word, word behind the last) of all segments of lines that lie behind each other."""
+    count = np.where(size <= SEGMENT, (size > 0).astype(np.int64), -(-(size - STEP) // STEP))
+    line = np.repeat(np.arange(len(size)), count)
+    place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    first = start[line] + STEP * place
+    return line, first, np.minimum(first + SEGMENT, start[line] + size[line])
 
 
 def _scan(model):
@@ -148,9 +177,8 @@ def _scan(model):
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
-                for k, line in enumerate((text or b"").split(b"\n")):
-                    if found := classifier.found(normal_words(line, memo)):
-                        rows.append((doc_id, k, *found))
+                lines = [normal_words(line, memo) for line in (text or b"").split(b"\n")]
+                rows += [(doc_id, *found) for found in classifier.scan(lines)]
             c = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], ["doc_id", "paragraph", "family", "probability", "similarity", "first_word"])
