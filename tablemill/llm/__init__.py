@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_minhash_near_dedup": minhash_dedup.op8_minhash_near_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op9_repeated_spans": substring_dedup.op9_repeated_spans,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat.ORACLE_SQL}

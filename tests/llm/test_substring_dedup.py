@@ -59,3 +59,61 @@ def test_edge_cases(spark):
     out = {r.doc_id: (r.text, r.n_chars) for r in sd.cut_stage(spark, docs, "").collect()}
     assert out[3] == (long, len(long)) and out[4] == ("x", 1) and out[1] == (None, 1) and out[None] == (long, 2) and len(out) == 7
     assert sd.repeated_passages(docs.limit(0)).count() == 0
+
+
+def held_elsewhere(docs):
+    """By document: the places of words in windows of 50 words that an earlier document holds, and that any other does."""
+    held, w = {}, {i: brute.words(t) for i, t in docs.items()}
+    for i, x in w.items():
+        for p in range(len(x) - sd.WINDOW + 1):
+            held.setdefault(tuple(x[p : p + sd.WINDOW]), set()).add(i)
+    earlier, shared = {}, {}
+    for i, x in w.items():
+        for p in range(len(x) - sd.WINDOW + 1):
+            own = held[tuple(x[p : p + sd.WINDOW])]
+            for to, more in ((earlier, min(own) < i), (shared, len(own) > 1)):
+                if more:
+                    to.setdefault(i, set()).update(range(p, p + sd.WINDOW))
+    return earlier, shared
+
+
+def covered(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.doc_id, set()).update(range(r.first_word, r.first_word + r.n_words))
+    return out
+
+
+def test_passages_inside_lines_and_across_lines(spark):
+    rng = random.Random(11)
+    words = lambda n: ["w%d" % rng.randrange(10**6) for _ in range(n)]
+    p, q, exact, short = words(60), words(75), words(50), words(49)
+    wrapped = lambda x, n: "\n".join(" ".join(x[k : k + n]) for k in range(0, len(x), n))
+    a, b = words(60), words(66)
+    docs = {
+        1: " ".join(a + p + b),
+        2: " ".join(words(80) + [x.upper() for x in p] + words(46)),
+        3: "head line\n" + wrapped(p, 9) + "\nlast line",
+        4: "\n".join([" ".join(words(30) + q[:40]), " ".join(q[40:] + words(30))]),
+        5: " ".join(words(100) + q + words(9)) + "\n",
+        6: " ".join(words(70) + exact + words(70)), 7: " ".join(words(90) + exact + words(90)),
+        8: " ".join(words(70) + short + words(70)), 9: " ".join(words(90) + short + words(90)),
+        10: " ".join(words(40) + p + ["x"] + p + words(40)),
+        11: None, 12: "word " * 300, 13: "word " * 300,
+    }
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    earlier, shared = held_elsewhere(docs)
+    rows = sd.repeated_spans(df).collect()
+    assert covered(r for r in rows if not r.kept) == earlier and covered(rows) == shared
+    assert {(r.doc_id, r.first_word, r.n_words, r.source_doc_id) for r in rows if r.doc_id in (2, 5)} == {(2, 80, 60, 1), (5, 100, 75, 4)}
+    cut = {r.doc_id: r.text for r in sd.cut_stage(spark, df, "").collect()}
+    for i, t in docs.items():
+        assert brute.words(cut[i]) == [w for k, w in enumerate(brute.words(t)) if k not in earlier.get(i, ())]
+    assert cut[3] == "head line\nlast line" and all(cut[i] == docs[i] for i in (1, 4, 6, 8, 9, 11, 12))
+
+
+def test_spans_of_documents_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    earlier, shared = held_elsewhere(docs)
+    rows = sd.op9_repeated_spans(spark, "/root/testdata/sf0.001").collect()
+    assert covered(r for r in rows if not r.kept) == earlier and covered(rows) == shared and len(shared) >= 30
