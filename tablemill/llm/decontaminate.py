@@ -3,7 +3,8 @@
 Each mask looks at some of the words in a short span and ignores the rest, so a substituted word
 spoils only the masks that look at it. Benchmark hashes and the hashes of each document are joined;
 around every hit the two word sequences are laid side by side on that diagonal, and the overlap
-counts if its best segment has enough equal words at few substitutions.
+counts if its best segment, or a stretch of which SHARE is equal, has enough equal words. Texts
+shorter than a mask have masks of their own: the whole text, or all of it but one word.
 
 The benchmark is read in blocks of at most BLOCK_SEEDS hashes. A block (a few MB, whatever the
 benchmark's size) is broadcast, and the documents stream past it once; they are never shuffled.
@@ -23,16 +24,28 @@ from tablemill.llm.common import Memo, Published, _coefficients, byte_texts, mix
 
 #: Word positions that each mask looks at.
 MASKS = ((0, 1, 2, 4, 7, 9), (0, 1, 3, 6, 8, 9), (0, 2, 3, 5, 8, 9), (0, 1, 2, 3, 4, 5))
-#: Benchmark texts of fewer words can't be told from chance and are no passages.
+#: Benchmark texts of fewer words count only where a document holds them whole.
 MIN_ITEM = 8
-#: An overlap needs so many equal words, or this share of a shorter text; a mismatch costs PENALTY matches.
+#: An overlap needs so many equal words, or this share of a shorter text; a mismatch costs PENALTY matches,
+#: so that a stretch of total 0 is equal by this share.
 MIN_EQUAL, SHARE, PENALTY = 13, 0.8, 4
 #: Hashes of a block of the benchmark at most (one text is never split).
 BLOCK_SEEDS = 200_000
 
+#: Masks of texts shorter than the longest mask by their words: a substitution in the middle leaves no six words in a row.
+_SHORT = {n: (tuple(range(n)),) for n in range(1, MIN_ITEM)} | {
+    n: (MASKS[3], *(tuple(k for k in range(n) if k != gap) for gap in range(n - 6, 6))) for n in range(MIN_ITEM, 10)
+}
+ALL_MASKS = (*MASKS, *(m for n in sorted(_SHORT) for m in _SHORT[n] if m not in MASKS))
+
 _BY = _coefficients(16, 23)
 
 
+def masks_of(n: int) -> list[int]:
+    """Indices of the masks for a text of n words."""
+    return [ALL_MASKS.index(m) for m in _SHORT.get(n, MASKS)]
+
+
 class NormalHashes(Memo):
     """Hash of a raw word's lower-case form without outer punctuation; 0 if nothing is left."""
 
@@ -54,7 +67,7 @@ def normal_words(text: bytes, memo: NormalHashes) -> np.ndarray:
 
 def seed_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of mask k at each position where its span fits."""
-    mask = MASKS[k]
+    mask = ALL_MASKS[k]
     n = len(h) - mask[-1]
     if n <= 0:
         return h[:0]
@@ -64,14 +77,32 @@ def seed_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+def needed(n: int) -> int:
+    """Equal words that an overlap with a text of n words needs."""
+    return n if n < MIN_ITEM else min(MIN_EQUAL, int(np.ceil(SHARE * n)))
+
+
+def widest(equal: np.ndarray) -> tuple[int, int]:
+    """Start and end of the stretch with most equal words of which SHARE or more are equal; ends are equal words."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    low = np.minimum.accumulate(total)
+    first = np.searchsorted(-low, -total, "left")
+    last = int(np.argmax(count - count[first]))
+    start = int(first[last])
+    inside = np.flatnonzero(equal[start:last])
+    return (start + int(inside[0]), start + int(inside[-1]) + 1) if len(inside) else (0, 0)
+
+
 class Block:
     """Some benchmark texts: their words, and their sorted seed hashes with text and position."""
 
     def __init__(self, ids: list[int], texts: list[np.ndarray]):
         self.ids, self.texts = ids, texts
+        self.masks = sorted({k for h in texts for k in masks_of(len(h))})
         hashes, owners, places = [], [], []
         for i, h in enumerate(texts):
-            for k in range(len(MASKS)):
+            for k in masks_of(len(h)):
                 s = seed_hashes(h, k)
                 hashes.append(s)
                 owners.append(np.full(len(s), i, dtype=np.int32))
@@ -93,7 +124,7 @@ class Block:
     def overlaps(self, h: np.ndarray, table: np.ndarray, shift: np.uint64) -> dict[int, tuple[int, int, int]]:
         """By text: (equal words, compared words, first word) of the best overlap that counts."""
         diagonals = set()
-        for k in range(len(MASKS)):
+        for k in self.masks:
             s = seed_hashes(h, k)
             at = np.flatnonzero(table[s >> shift]) if len(s) else s
             if not len(at):
@@ -114,8 +145,11 @@ class Block:
                 total += 1 if same else -PENALTY
                 if total > best:
                     best, start, last = total, run, k + 1
-            n = int(equal[start:last].sum())
-            if n >= min(MIN_EQUAL, int(np.ceil(SHARE * len(text)))) and n > found.get(i, (0,))[0]:
+            n, least = int(equal[start:last].sum()), needed(len(text))
+            if n < least:
+                start, last = widest(equal)
+                n = int(equal[start:last].sum())
+            if n >= least and n > found.get(i, (0,))[0]:
                 found[i] = (n, last - start, a + d + start)
         return found
 
@@ -126,7 +160,7 @@ def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_SEEDS) -> Iterator
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     for row in rows.orderBy("item_id").toLocalIterator():
         h = normal_words(row.text.encode(), memo)
-        if len(h) < MIN_ITEM or h.tobytes() in seen:
+        if not len(h) or h.tobytes() in seen:
             continue
         if ids and held + len(h) * len(MASKS) > limit:
             yield Block(ids, texts)

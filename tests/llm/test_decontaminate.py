@@ -62,3 +62,34 @@ def test_edge_cases(spark):
     got = sorted(map(tuple, dc.contaminated(docs, bench).collect()), key=str)
     assert got == sorted([(3, 4, 20, 20, 0), (3, 4, 20, 20, 0), (None, 4, 20, 20, 0), (4, 4, 20, 20, 50_000)], key=str)
     assert dc.contaminated(docs, bench.limit(0)).count() == 0 and dc.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_substitutions_and_short_items(spark):
+    rng = random.Random(9)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    items = {n: [word() for _ in range(n)] for n in (*range(1, 16), 20, 40, 60)}
+    docs, want, n_equal = {}, set(), {}
+
+    def add(n, gone):
+        text = [word() for _ in range(30)]
+        text[17:17] = [word() if k in gone else w for k, w in enumerate(items[n])]
+        docs[len(docs)] = " ".join(text)
+        return len(docs) - 1
+
+    for n in range(1, 16):
+        want.add((add(n, ()), n))
+        for k in range(n):
+            i = add(n, (k,))
+            if n >= 8:
+                want.add((i, n))
+                n_equal[i] = n - 1
+    for n in (20, 40, 60):
+        for off in range(1, 4):
+            i = add(n, range(off, n, 5))
+            want.add((i, n))
+    add(15, (1, 4, 7, 10)), add(20, range(0, 20, 3))
+    a = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in dc.contaminated(a, b).collect()}
+    assert set(got) == want
+    assert all(r.n_equal <= n_equal.get(d, 60) and 5 * r.n_equal >= 4 * min(13, r.n_compared) for (d, _), r in got.items())
