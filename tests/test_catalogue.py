@@ -31,3 +31,10 @@ def test_entry_point_without_llm(spark):
 
     assert e.entry(spark).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fuzzy_pairs_takes_all_suppliers(spark, tmp_path):
+    names = {k: f"{word} trading company" for k, word in zip((1, 4999, 5001, 290_000), ("northwind", "blueberry", "cascade", "evergreen"))}
+    spark.createDataFrame(list(names.items()), "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.right_value for r in catalogue.fuzzy_pairs(spark, str(tmp_path)).filter("place = 1").collect()}
+    assert got == set(names.values())
