@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import bpe, common, decontaminate, minhash_dedup, substring_dedup, toxicity
+from tablemill.llm import bpe, common, decontaminate, minhash_dedup, passages, toxicity
 
 #: (name, function of spark, docs and sf_dir), in order.
 STAGES = [
     ("toxicity", toxicity.drop_toxic),
     ("minhash_near_dedup", minhash_dedup.keep_one),
-    ("substring_dedup", substring_dedup.cut_stage),
+    ("substring_dedup", passages.cut_stage),
     ("benchmark_decontamination", decontaminate.drop_contaminated),
     ("bpe_encoding_and_decoding", bpe.encode_stage),
 ]

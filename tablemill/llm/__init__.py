@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablemill.llm import bpe, chat, decontaminate, fingerprints, html_extract, licenses, minhash_dedup, substring_dedup, token_counts, toxicity
+from tablemill.llm import bpe, chat, decontaminate, fingerprints, html_extract, licenses, minhash_dedup, passages, token_counts, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,8 +13,7 @@ QUERIES = {
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_minhash_near_dedup": minhash_dedup.op8_minhash_near_dedup,
-    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
-    "op9_repeated_spans": substring_dedup.op9_repeated_spans,
+    "op9_substring_dedup": passages.op9_substring_dedup,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat.ORACLE_SQL}

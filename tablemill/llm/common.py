@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch for Python. Texts can be long, so batches hold few rows.
 BATCH_ROWS = 256
@@ -64,6 +65,28 @@ def drop(df: DataFrame) -> None:
         _delete(sc._jvm, sc._jsc.hadoopConfiguration(), path)
 
 
+#: Words of 64 flags in a sieve: what is broadcast has this bound, whatever the tables hold.
+SIEVE_WORDS = 1 << 17
+
+
+def sifted(df: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose `column` may be in ids, rows that surely aren't in it), both with df's columns.
+
+    ids has one column of longs. Its hashes set flags in a table of SIEVE_WORDS words, which is all
+    that is broadcast; an exact join has to follow for the first part, whose share of df grows with
+    ids. Rows with a null belong to the second part. The text columns of the second part are never shuffled.
+    """
+    word, bits = "_sieve_word_", "_sieve_bits_"
+    spot = f"(xxhash64({{0}}) >>> 6) & {SIEVE_WORDS - 1}L"
+    flag = "cast(xxhash64({0}) & 63L as int)"
+    ids = ids.toDF("_sieve_id_").filter("_sieve_id_ is not null")
+    sieve = ids.select(F.expr(spot.format("_sieve_id_")).alias(word), F.expr(f"shiftleft(1L, {flag.format('_sieve_id_')})").alias("_sieve_bit_")).groupBy(word).agg(F.bit_or("_sieve_bit_").alias(bits))
+    key = f"cast(`{column}` as bigint)"
+    marked = df.join(F.broadcast(sieve), F.expr(spot.format(key)) == F.col(word), "left")
+    hit = F.expr(f"`{column}` is not null and {bits} is not null and (shiftright({bits}, {flag.format(key)}) & 1L) = 1L")
+    return marked.filter(hit).select(*[df[c] for c in df.columns]), marked.filter(~hit).select(*[df[c] for c in df.columns])
+
+
 class Memo(dict):
     """Results by key in two generations: frequent keys outlive the rare ones, and both are bounded."""
 

@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round halves the distance to the least node at least, so rounds grow with the logarithm
     of the longest path. A round shuffles two longs an edge, minima are combined before the
-    shuffle, and each round's edges are written, so the lineage stays short. Edges from a node to
-    itself and rows with nulls are ignored; an empty input gives an empty result.
+    shuffle, and each round's edges are written, so the lineage stays short. The minima are written
+    too: the joins then read two plain shuffles, and the edges of a hub can be dealt to many tasks.
+    Edges from a node to itself and rows with nulls are ignored; an empty input gives an empty result.
     """
     cur = written(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -24,16 +25,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             cur.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(
-            F.col("v").alias("a"), F.least("u", "m").alias("b")
-        )
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")))
+        large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct())
+        down = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (
             large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         ).union(down)
         new = written(small.distinct())
-        drop(cur)
+        for gone in (cur, least, large, down):
+            drop(gone)
         cur, before, seen = new, seen, _mark(new)
         if seen == before:
             break

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import MinHasher, WordHashes, byte_texts, prepare, read_table, shared, written
+from tablemill.llm.common import MinHasher, WordHashes, byte_texts, prepare, read_table, shared, sifted, written
 from tablemill.llm.neardup import distinct_shingles, linked_components, longs_list, set_key
 
 #: A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**6)**20 < 1e-4.
@@ -69,9 +69,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies stays, the one of least doc_id."""
-    dropped = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: one document of each group of near copies stays, the one of least doc_id.
+
+    Rows with a null doc_id stay, and rows that repeat a doc_id stay or go together. Only rows that
+    may go are shuffled.
+    """
+    dropped = written(near_duplicates(docs).filter("not kept").select("doc_id").distinct())
+    may, stay = sifted(docs, "doc_id", dropped)
+    gone = dropped.toDF("_gone_id")
+    return stay.union(may.join(gone, may["doc_id"] == gone["_gone_id"], "left_anti").select(*[may[c] for c in docs.columns]))
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

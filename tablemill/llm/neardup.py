@@ -33,6 +33,7 @@ from tablemill.llm.common import (
     mixed,
     shared,
     shingle_hashes,
+    sifted,
     word_hashes,
     words_of,
     written,
@@ -88,13 +89,11 @@ def coarse_groups(items: DataFrame) -> DataFrame:
     return connected_components(edges.distinct())
 
 
-def blocks_of(items: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of each block: (component, low, high, chunk, id, n, text), sorted by block in a task."""
-    members = items.select("id", "n").join(groups, "id")
-    sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select(
-        "component",
-        F.ceil(F.greatest(F.col("m") / CHUNK_ITEMS, F.col("total") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
-    )
+def blocks_of(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of each block: (component, low, high, chunk, id, n, text), sorted by block in a task.
+
+    members (id, n, component) and sizes (component, chunks) are written tables, so a skewed join can be dealt anew.
+    """
     chunked = members.join(sizes, "component").withColumn("chunk", F.expr("int(pmod(xxhash64(id), chunks))"))
     return (
         chunked.join(texts, "id")
@@ -209,9 +208,21 @@ def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: i
     returns (id, text) for them.
     """
     groups = written(coarse_groups(items))
+    members = written(items.select("id", "n").join(groups, "id"))
+    drop(groups)
+    sizes = written(
+        members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select(
+            "component",
+            F.ceil(F.greatest(F.col("m") / CHUNK_ITEMS, F.col("total") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
+        )
+    )
     if places is not None:
-        texts = texts(places.join(groups.select("id"), "id", "left_semi"))
-    links = blocks_of(items, groups, texts).mapInArrow(_verify(bands, rows, percent), "a long, b long")
+        texts = texts(places.join(members.select("id"), "id", "left_semi"))
+    else:
+        texts = sifted(texts, "id", members.select("id"))[0]
+    links = written(blocks_of(members, sizes, texts).mapInArrow(_verify(bands, rows, percent), "a long, b long"))
+    drop(members)
+    drop(sizes)
     out = written(connected_components(links))
-    drop(groups)
+    drop(links)
     return out
