@@ -82,11 +82,17 @@ def longs_list(rows: list[np.ndarray]) -> pa.Array:
 
 
 def coarse_groups(items: DataFrame) -> DataFrame:
-    """(id, bands) to (id, component) over shared band keys. One shuffle of (key, id)."""
-    keys = items.select("id", F.explode("bands").alias("key")).repartition("key")
-    buckets = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    edges = keys.join(buckets.select("key", "low"), "key").filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    return connected_components(edges.distinct())
+    """(id, bands) to (id, component) over shared band keys.
+
+    A bucket is first met as the least and the greatest item of each task, so one that holds a third
+    of all items is one row a task; only items of buckets with several are shuffled after that.
+    """
+    keys = items.select("id", F.explode("bands").alias("key"))
+    buckets = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low"))
+    edges = sifted(keys, "key", buckets.select("key"))[0].join(buckets, "key").filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    out = connected_components(edges.distinct())
+    drop(buckets)
+    return out
 
 
 def blocks_of(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import MinHasher, WordHashes, byte_texts, drop, prepare, read_table, shared, shingle_hashes, word_hashes, words_of, written
+from tablemill.llm.common import MinHasher, WordHashes, byte_texts, drop, prepare, read_table, shared, shingle_hashes, sifted, word_hashes, words_of, written
 from tablemill.llm.neardup import linked_components, longs_list, set_key
 
 #: Shorter lines are not passages.
@@ -163,10 +163,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _held_twice(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, key, ...) whose key at least two documents hold, with the least of them in first_doc. One shuffle."""
-    dealt = rows.repartition("key")
-    least = dealt.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
-    return dealt.join(least.select("key", "first_doc"), "key")
+    """Rows (doc_id, key, ...) whose key at least two documents hold, with the least of them in first_doc.
+
+    Keys are counted with partial sums first, so a key in a third of all rows is one row a task;
+    then only rows whose key may be held twice are shuffled, and a skewed key can be dealt anew.
+    """
+    held = written(rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").select("key", "first_doc"))
+    return sifted(rows, "key", held.select("key"))[0].join(held, "key")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
