@@ -1,16 +1,23 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and an incremental decoder.
 
-Encoding. BPE merges the pair of least rank first, so what follows a token can undo it only
-through a merge (p, q) that starts at the token's end: p must be a suffix that the token had while
-it was built (its right spine), and q must itself have survived until that merge, which again
-depends only on merges of lower rank. Ranks fall along such a chain, so the merge list alone bounds
-how many bytes behind a token decide it: `MergeList.lookahead`. The transducer keeps a window of
-bytes, merges inside it, emits the leading tokens whose lookahead lies inside the window, and moves
-on; the window never holds more than `MergeList.window` bytes. Most pieces of the pre-tokenizer are
-shorter than that and come from a bounded memo.
+A text goes through `Stream` in slices; what a slice leaves undecided is held, and everything else
+leaves as ids at once. Two lookaheads decide:
+
+* The pre-tokenizer's. A piece stands once SETTLED characters behind it are known, so the pieces of
+  a slice up to there are merged whole (through a bounded memo, new ones in bulk).
+* That of the merge list, for the piece that a slice cuts. BPE merges the pair of least rank first,
+  so what follows a token can undo it only through a merge (p, q) that starts at the token's end: p
+  must be a suffix that the token had while it was built (its right spine), and q must itself have
+  survived until that merge, which again depends only on merges of lower rank. Ranks fall along such
+  a chain, so the merge list alone bounds how many bytes behind a token decide it:
+  `MergeList.lookahead`, at most `MergeList.sufficient` from the token's start. `Transducer` holds
+  at most a window of twice that. Most tokens stand earlier: in the whole text some token starts
+  at a place from which the held bytes are the beginning of a token, and the tokens before that
+  place are those of the bytes before it. What the merges of all such beginnings share is stable.
 
 Decoding. Token bytes go through an incremental UTF-8 decoder, a state machine that keeps at most
-three bytes of an unfinished character; each bad sequence becomes U+FFFD.
+three bytes of an unfinished character; each bad sequence becomes U+FFFD. Both digests are updated
+while the ids stream by, so beside the text itself no memory grows with it.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ import hashlib
 import heapq
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 from itertools import repeat
@@ -28,18 +36,21 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tablemill.llm.common import Memo, Published, prepare, read_table
 
 #: The pre-tokenizer's published pattern. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of a text that are split at once, and pieces that a worker's memo holds.
-SLICE, MEMO_PIECES = 1 << 16, 150_000
-#: Longer pieces go through the transducer.
+#: Characters of a text that are fed at once, and pieces that a worker's memo holds.
+SLICE, MEMO_PIECES = 1 << 13, 150_000
+#: Bytes up to which merges are found by scanning, and in bulk; beyond them by a heap.
 LONG_PIECE = 48
+#: Characters of the piece that a slice cuts from which it goes on as an open piece, byte by byte.
+OPEN_PIECE = 8
 #: Between other characters a single space starts a piece, so a text without this can be cut before each space.
 NEAR_SPACE = re.compile(r"\s | \s")
+#: Longer texts come up with their new segments one by one.
+PRIMED = 1 << 16
 #: Tokens that are decoded at once.
 DECODE_AT_ONCE = 1 << 15
 #: A piece ends for sure if this many characters follow it: a contraction has three.
@@ -104,7 +115,38 @@ class MergeList:
 
     @property
     def window(self) -> int:
-        return max(4096, 2 * self.sufficient)
+        return 2 * self.sufficient
+
+    @cached_property
+    def _sorted(self) -> list[bytes]:
+        return sorted(self.token_bytes)
+
+    @cached_property
+    def _longest(self) -> int:
+        return max(map(len, self.token_bytes))
+
+    def begins_token(self, data: bytes) -> bool:
+        """Whether a longer token begins with data."""
+        k = bisect_right(self._sorted, data)
+        return k < len(self._sorted) and self._sorted[k].startswith(data)
+
+    def stable(self, data: bytes) -> list[int]:
+        """The first tokens of data that stand whatever follows."""
+        n, shared = len(data), None
+        for e in range(n, max(-1, n - self._longest), -1):
+            if e < n and not self.begins_token(data[e:]):
+                continue
+            tokens = self.merge(data[:e])
+            if shared is None:
+                shared = tokens
+            else:
+                k = 0
+                while k < min(len(shared), len(tokens)) and shared[k] == tokens[k]:
+                    k += 1
+                shared = shared[:k]
+            if not shared:
+                return []
+        return shared or []
 
     def merge(self, data: bytes) -> list[int]:
         """All merges inside data."""
@@ -224,6 +266,8 @@ class Transducer:
 
     def __init__(self, merges: MergeList):
         self.merges, self.held = merges, b""
+        #: Tokens emitted before their piece had ended.
+        self.early = 0
 
     def feed(self, data: bytes, last: bool = False) -> Iterator[int]:
         m, at = self.merges, 0
@@ -235,13 +279,19 @@ class Transducer:
                 yield from m.merge(self.held)
                 self.held = b""
                 return
+            end = 0
             if len(self.held) < m.window:
+                for token in m.stable(self.held):
+                    self.early += 1
+                    yield token
+                    end += len(m.token_bytes[token])
+                self.held = self.held[end:]
                 return
-            end = 0
             for token in m.merge(self.held):
                 stop = end + len(m.token_bytes[token])
                 if stop + m.lookahead[token] > len(self.held):
                     break
+                self.early += 1
                 yield token
                 end = stop
             self.held = self.held[end:]
@@ -255,9 +305,8 @@ class Pieces(Memo):
         self.merges = merges
 
     def make(self, piece: str) -> bytes:
-        if len(piece) > LONG_PIECE:
-            return np.fromiter(Transducer(self.merges).feed(piece.encode(), last=True), dtype="<u4").tobytes()
-        return self.merges.short(piece.encode())
+        data = piece.encode()
+        return self.merges.short(data) if len(data) <= LONG_PIECE else np.array(self.merges.merge(data), dtype="<u4").tobytes()
 
 
 class Segments(Memo):
@@ -271,6 +320,73 @@ class Segments(Memo):
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(" " + segment)))
 
 
+#: The rest of an open piece by its kind, and what opens one. White space lets its last character go to the next piece.
+GOES_ON = {k: regex.compile(p) for k, p in (("letters", r"\p{L}*+"), ("numbers", r"\p{N}*+"), ("others", r"[^\s\p{L}\p{N}]*+"), ("space", r"\s*+"))}
+OPENS = {k: regex.compile(p) for k, p in (("letters", r" ?\p{L}++"), ("numbers", r" ?\p{N}++"), ("others", r" ?[^\s\p{L}\p{N}]++"), ("space", r"\s\s++"))}
+
+
+def _plain(char: str) -> bool:
+    return char.isalnum() or "!" <= char <= "~"
+
+
+class Stream:
+    """The pre-tokenizer's state machine over slices of a text: ids leave once they are settled.
+
+    It holds less than SETTLED + OPEN_PIECE characters behind the last settled piece, or an open
+    piece's window of bytes.
+    """
+
+    def __init__(self, codec: Codec):
+        self.codec, self.tail, self.kind, self.machine = codec, "", None, Transducer(codec.merges)
+
+    def _open(self, piece: str, last: bool = False) -> Iterator[bytes]:
+        machine, before = self.machine, self.machine.early
+        ids = np.fromiter(machine.feed(piece.encode(), last), dtype="<u4")
+        self.codec.early += machine.early - before
+        yield ids.tobytes()
+
+    def feed(self, text: str, last: bool = False) -> Iterator[bytes]:
+        """Runs of ids as little-endian 32-bit bytes; last: nothing follows."""
+        text = self.tail + text
+        self.tail = ""
+        if self.kind:
+            stop = GOES_ON[self.kind].match(text).end()
+            more = stop == len(text) and not last
+            if self.kind == "space" and (more or stop < len(text)):
+                stop -= 1
+                if more:
+                    self.tail = text[stop:]
+            yield from self._open(text[:stop], last=not more)
+            if more:
+                return
+            self.kind, text = None, text[stop:]
+        if last:
+            yield from self.codec.settled(text)
+            return
+        cut = text.rfind(" ", 1, len(text) - 1)
+        if cut > 0 and _plain(text[cut - 1]) and _plain(text[cut + 1]):
+            yield from self.codec.settled(text[:cut])
+        else:
+            cut = 0
+        pieces, at = [], cut
+        for m in self.codec.pattern.finditer(text, cut):
+            if m.end() > len(text) - SETTLED:
+                break
+            pieces.append(m.group())
+            at = m.end()
+        yield b"".join(map(self.codec.pieces.__getitem__, pieces))
+        text = text[at:]
+        if len(text) >= OPEN_PIECE:
+            for kind, opens in OPENS.items():
+                if opens.fullmatch(text):
+                    self.kind = kind
+                    if kind == "space":
+                        text, self.tail = text[:-1], text[-1]
+                    yield from self._open(text)
+                    return
+        self.tail = text
+
+
 class Codec:
     """Encoder and decoder of a byte-level BPE vocabulary file (its JSON as bytes)."""
 
@@ -293,33 +409,17 @@ class Codec:
         for text, k in self.special.items():
             self.table[k] = text.encode()
         self.pieces = Pieces(self.merges)
+        #: Tokens that left a piece before its end was known.
+        self.early = 0
         self.pattern = regex.compile(PATTERN)
         self.segments = Segments(self.pieces, self.pattern)
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
-    def split(self, text: str) -> Iterator[list[str]]:
-        """The pre-tokenizer's pieces, in runs from slices of bounded length."""
-        start, size = 0, SLICE
-        while start < len(text):
-            stop = start + size
-            if stop >= len(text):
-                yield self.pattern.findall(text, start)
-                return
-            run, at = [], start
-            for m in self.pattern.finditer(text, start, stop):
-                if m.end() > stop - SETTLED:
-                    break
-                run.append(m.group())
-                at = m.end()
-            if run:
-                yield run
-            start, size = at, SLICE if run else 2 * size
-
     def prime(self, texts: list[str]) -> None:
         """Put the new segments of some texts into the memo, with all their merges run together."""
         segments = self.segments
-        new = {x for t in texts if len(t) <= SLICE for x in t.split(" ")[1:] if x not in segments and x not in segments.old}
+        new = {x for t in texts if len(t) <= PRIMED for x in t.split(" ")[1:] if x not in segments and x not in segments.old}
         parts = {x: [" " + x] if x.isalpha() else self.pattern.findall(" " + x) for x in new}
         pieces = list({p for ps in parts.values() for p in ps if p not in self.pieces and p not in self.pieces.old})
         data = [p.encode() for p in pieces]
@@ -328,22 +428,31 @@ class Codec:
         get = self.pieces.__getitem__
         segments.put({x: b"".join(map(get, ps)) for x, ps in parts.items()})
 
+    def settled(self, text: str) -> Iterator[bytes]:
+        """Ids of whole pieces, as little-endian 32-bit bytes."""
+        if NEAR_SPACE.search(text):
+            yield b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+            return
+        head, *tail = text.split(" ")
+        yield b"".join(map(self.pieces.__getitem__, self.pattern.findall(head)))
+        yield b"".join(map(self.segments.__getitem__, tail))
+
     def encode(self, text: str) -> Iterator[bytes]:
         """Runs of ids as little-endian 32-bit bytes."""
-        get, after = self.pieces.__getitem__, self.segments.__getitem__
-        for k, part in enumerate(self.cut.split(text) if self.cut and "<" in text else (text,)):
-            if k % 2:
-                yield np.array([self.special[part]], dtype="<u4").tobytes()
-            elif part and len(part) <= SLICE and not NEAR_SPACE.search(part):
-                head, *tail = part.split(" ")
-                yield b"".join(map(get, self.pattern.findall(head)))
-                yield b"".join(map(after, tail))
-            elif part:
-                for run in self.split(part):
-                    yield b"".join(map(get, run))
+        at = 0
+        for m in self.cut.finditer(text) if self.cut and "<" in text else ():
+            yield from self._part(text, at, m.start())
+            yield np.array([self.special[m.group()]], dtype="<u4").tobytes()
+            at = m.end()
+        yield from self._part(text, at, len(text))
+
+    def _part(self, text: str, start: int, stop: int) -> Iterator[bytes]:
+        stream = Stream(self)
+        for at in range(start, stop, SLICE):
+            yield from stream.feed(text[at : min(stop, at + SLICE)], last=at + SLICE >= stop)
 
     def decode(self, runs: Iterable[bytes]) -> Iterator[str]:
-        """Text of runs of ids, a bounded number of tokens at once."""
+        """Text of runs of ids, a bounded number of tokens at once; takes a run only when it is asked for more."""
         machine, get = codecs.getincrementaldecoder("utf-8")("replace"), self.table.__getitem__
         for run in runs:
             ids = np.frombuffer(run, dtype="<u4")
@@ -351,6 +460,23 @@ class Codec:
                 yield machine.decode(b"".join(map(get, ids[at : at + DECODE_AT_ONCE].tolist())))
         yield machine.decode(b"", final=True)
 
+    def round_trip(self, text: str, keep: list | None = None) -> tuple[int, str, str]:
+        """Number of ids, and digests of the ids and of the decoded text, taken while they stream by. keep gets the ids."""
+        ids, out, n = hashlib.sha256(), hashlib.sha256(), 0
+
+        def seen():
+            nonlocal n
+            for run in self.encode(text):
+                ids.update(run)
+                n += len(run) // 4
+                if keep is not None:
+                    keep.append(run)
+                yield run
+
+        for piece in self.decode(seen()):
+            out.update(piece.encode())
+        return n, ids.hexdigest(), out.hexdigest()
+
 
 def vocabulary_path() -> str:
     import public_tokenizers
@@ -375,14 +501,9 @@ def _round_trip(vocabulary, schema: pa.Schema, emit_ids: bool):
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
             codec.prime([t for t in texts if t])
             for text in texts:
-                runs, id_hash, text_hash = list(codec.encode(text or "")), hashlib.sha256(), hashlib.sha256()
-                for x in runs:
-                    id_hash.update(x)
-                for x in codec.decode(runs):
-                    text_hash.update(x.encode())
-                counts.append(sum(map(len, runs)) // 4)
-                id_hashes.append(id_hash.hexdigest())
-                text_hashes.append(text_hash.hexdigest())
+                runs = [] if emit_ids else None
+                for column, value in zip((counts, id_hashes, text_hashes), codec.round_trip(text or "", runs), strict=True):
+                    column.append(value)
                 if emit_ids:
                     ids.append(np.frombuffer(b"".join(runs), dtype="<u4").astype(np.int32))
             own = [pa.array(counts, pa.int64()), pa.array(id_hashes), pa.array(text_hashes)]
@@ -421,8 +542,12 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
 
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with their token ids, counts and digests."""
-    return encode_decode(docs, with_ids=True).select(*[c for c in docs.columns], "n_tokens", "ids_sha256", "decoded_sha256", F.col("ids"))
+    """Pipeline stage: the documents with their token ids, counts and digests.
+
+    Columns called n_tokens, ids, ids_sha256 or decoded_sha256 are replaced. Null texts are encoded
+    as empty ones and stay null; repeated rows repeat; an empty table gives an empty one.
+    """
+    return encode_decode(docs, with_ids=True)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
