@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import (
+    SHINGLE,
     MinHasher,
     WordHashes,
     byte_texts,
@@ -45,7 +46,9 @@ MISS = 1e-6
 #: Hashes of a batch in the sequential comparison.
 BATCH = 20
 #: Items and shingles that a chunk holds on average at most.
-CHUNK_ITEMS, CHUNK_SHINGLES = 400, 1_500_000
+CHUNK_ITEMS, CHUNK_SHINGLES = 2000, 1_500_000
+#: Shingles whose minima are taken at once.
+AT_ONCE = 1 << 15
 
 
 def least_matches(compared: int, threshold: float, miss: float = MISS) -> int:
@@ -73,6 +76,55 @@ def set_key(elements: np.ndarray) -> tuple[int, int]:
     return (one ^ (1 << 63)) - (1 << 63), (two ^ (1 << 63)) - (1 << 63)
 
 
+def sets_of(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of several sequences of word hashes, sorted and behind each other, and their counts."""
+    size = np.array([len(p) for p in parts], dtype=np.int64)
+    own = np.maximum(size - SHINGLE + 1, 0)
+    place = np.repeat(np.arange(len(parts)), own)
+    at = np.arange(len(place)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(np.cumsum(size) - size, own)
+    values = shingle_hashes(np.concatenate(parts))[at] if len(at) else np.zeros(0, np.uint64)
+    if (short := np.flatnonzero((size > 0) & (own == 0))).size:
+        values = np.concatenate([values, *(shingle_hashes(parts[k]) for k in short)])
+        place = np.concatenate([place, short])
+    order = np.lexsort((values, place))
+    values, place = values[order], place[order]
+    first = np.ones(len(values), dtype=bool)
+    first[1:] = (values[1:] != values[:-1]) | (place[1:] != place[:-1])
+    return values[first], np.bincount(place[first], minlength=len(parts))
+
+
+def set_keys(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """set_key() of several sets that lie behind each other."""
+    ends = np.cumsum(counts)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+        return (total[ends] - total[ends - counts]).view(np.int64)
+
+    return sums(elements), sums(mixed(elements ^ np.uint64(0x5DEECE66D)))
+
+
+def minima(elements: np.ndarray, counts: np.ndarray, hasher: MinHasher) -> np.ndarray:
+    """Signatures of several sets that lie behind each other."""
+    out = np.full((len(counts), len(hasher.times)), 0xFFFFFFFF, dtype=np.uint32)
+    filled = np.flatnonzero(counts)
+    starts = (np.cumsum(counts) - counts)[filled]
+    low = (elements >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(low), AT_ONCE):
+        b = min(len(low), a + AT_ONCE)
+        first = int(np.searchsorted(starts, a, "right")) - 1
+        own = np.maximum(starts[first : int(np.searchsorted(starts, b, "left"))] - a, 0)
+        rows = filled[first : first + len(own)]
+        out[rows] = np.minimum(out[rows], np.minimum.reduceat((low[a:b, None] ^ hasher.plus) * hasher.times, own, axis=0))
+    return out
+
+
+def band_keys(signatures: np.ndarray, hasher: MinHasher) -> np.ndarray:
+    """MinHasher.band_keys() of several signatures, a row for each."""
+    parts = signatures.reshape(len(signatures), hasher.bands, hasher.rows).astype(np.uint64)
+    return mixed((parts * hasher.band_by).sum(axis=2, dtype=np.uint64) + np.arange(hasher.bands, dtype=np.uint64))
+
+
 def longs_list(rows: list[np.ndarray]) -> pa.Array:
     """A list<int64> array from arrays of 64-bit integers."""
     offsets = np.zeros(len(rows) + 1, dtype=np.int32)
@@ -123,10 +175,10 @@ def links_in_block(ids, texts, chunks, hasher: MinHasher, percent: int, memo: Wo
     chunks: the chunk of each item; in a block of two chunks only pairs across them count, since
     each chunk has a block of its own for the pairs inside it.
     """
-    sets = [distinct_shingles(t, memo) for t in texts]
-    sigs = np.array([hasher.signature(s) for s in sets])
-    bands = np.array([hasher.band_keys(s) for s in sigs])
-    n = np.array([len(s) for s in sets])
+    elements, n = sets_of([word_hashes(words_of(t), memo) for t in texts])
+    sets = np.split(elements, np.cumsum(n)[:-1])
+    sigs = minima(elements, n, hasher)
+    bands = band_keys(sigs, hasher)
     chunks = np.array(chunks)
     across = chunks.min() != chunks.max()
     width, threshold = sigs.shape[1], percent / 100

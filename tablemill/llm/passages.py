@@ -2,7 +2,7 @@
 
 A paragraph here doesn't depend on line ends. A text's words are cut where the hash of the next MARK
 words is the least within RADIUS words to either side, so a passage is cut alike in every document
-that holds it. The paragraphs (RADIUS + 1 words or more, about twice that on average) go through
+that holds it. The paragraphs (LEAST words or more, about twice that on average) go through
 bands that are tuned for high recall at the threshold; colliding ones are verified on their exact
 5-word shingle sets (see neardup), and components of the links, with equal sets as one, are clusters.
 
@@ -24,95 +24,151 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import MinHasher, WordHashes, byte_texts, drop, mixed, prepare, read_table, shared, shingle_hashes, sifted, word_hashes, words_of, written
-from tablemill.llm.neardup import linked_components, longs_list, set_key
-from tablemill.llm.substring_dedup import WINDOW, _held_twice, _windows, least_marks, tuned_bands
+from tablemill.llm.neardup import band_keys, linked_components, minima, set_keys, sets_of
+from tablemill.llm.substring_dedup import WINDOW, _held_twice, tuned_bands
 
-#: Words that a cut looks at, and to either side of it.
-MARK, RADIUS = 3, 32
 #: Words of a repeated passage.
 LEAST = 50
+#: Words that a cut looks at, and to either side of it.
+MARK, RADIUS = 3, LEAST - 1
 PERCENT = 80
+#: Words of the shingles of which a window's least one stands for it, and words of texts that are sketched together.
+MARK_WORDS, GROUP_WORDS = 10, 40_000
 #: A pair of paragraphs at the threshold shares no band with a probability below MISS.
-ROWS, MISS = 3, 2e-3
+ROWS, MISS = 2, 2.5e-3
 BANDS = tuned_bands(PERCENT / 100, ROWS, MISS)
-#: Shingles whose minima are taken at once.
-AT_ONCE = 1 << 15
 
 SKETCH = "doc_id long, marks array<bigint>, at array<int>, n_words array<int>, n array<int>, s1 array<bigint>, s2 array<bigint>, bands array<bigint>"
 
 
-def cuts(h: np.ndarray) -> np.ndarray:
-    """Starts of the paragraphs of a text of hashed words; the first is 0."""
+def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
+    """The least of each `size` neighbours."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        x, have = np.minimum(x[:-step], x[step:]), have + step
+    return x
+
+
+def cut_places(h: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Starts of the paragraphs of several texts of hashed words that lie behind each other, in order; a text's first is its own."""
     m = shingle_hashes(h, MARK)
-    span = 2 * RADIUS + 1
-    if len(h) < MARK or len(m) < span:
-        return np.zeros(min(1, len(h)), np.int64)
-    side, have = m, 1
-    while have < RADIUS:
-        step = min(have, RADIUS - have)
-        side, have = np.minimum(side[:-step], side[step:]), have + step
-    n = len(m) - span + 1
-    centre = m[RADIUS : RADIUS + n]
-    return np.concatenate([[0], np.flatnonzero((centre < side[:n]) & (centre <= side[RADIUS + 1 : RADIUS + 1 + n])) + RADIUS])
-
-
-def minima(elements: np.ndarray, starts: np.ndarray, hasher: MinHasher) -> np.ndarray:
-    """Signatures of several sets that lie behind each other; starts: where each set begins."""
-    out = np.full((len(starts), len(hasher.times)), 0xFFFFFFFF, dtype=np.uint32)
-    low = (elements >> np.uint64(32)).astype(np.uint32)
-    for a in range(0, len(low), AT_ONCE):
-        b = min(len(low), a + AT_ONCE)
-        first = int(np.searchsorted(starts, a, "right")) - 1
-        own = np.maximum(starts[first : int(np.searchsorted(starts, b, "left"))] - a, 0)
-        part = np.minimum.reduceat((low[a:b, None] ^ hasher.plus) * hasher.times, own, axis=0)
-        np.minimum(out[first : first + len(own)], part, out=out[first : first + len(own)])
-    return out
+    n = len(m) - 2 * RADIUS
+    if len(h) < MARK or n <= 0:
+        return first
+    side, centre = sliding_least(m, RADIUS), m[RADIUS : RADIUS + n]
+    at = np.flatnonzero((centre < side[:n]) & (centre <= side[RADIUS + 1 : RADIUS + 1 + n])) + RADIUS
+    text = np.searchsorted(first, at, "right") - 1
+    whole = (at - RADIUS >= first[text]) & (at + RADIUS + MARK <= stop[text])
+    return np.sort(np.concatenate([first, at[whole]]))
 
 
-def paragraphs_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Starts, lengths and shingle sets of a text's paragraphs."""
-    at = cuts(h)
-    stop = np.append(at[1:], len(h))
-    return at, stop - at, [np.unique(shingle_hashes(h[a:b])) for a, b in zip(at.tolist(), stop.tolist(), strict=True)]
+def cuts(h: np.ndarray) -> np.ndarray:
+    """Starts of the paragraphs of one text."""
+    return cut_places(h, np.zeros(min(1, len(h)), np.int64), np.array([len(h)][: min(1, len(h))], np.int64))
+
+
+def nested(values: np.ndarray, ends: np.ndarray, kind=None) -> pa.Array:
+    """A list array: the values up to each end."""
+    values = values.view(np.int64) if values.dtype == np.uint64 else values
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, kind))
+
+
+def _group(ids: list, texts: list[np.ndarray], hasher: MinHasher) -> pa.RecordBatch:
+    """The sketch of some texts of LEAST words or more, run together."""
+    h, size = np.concatenate(texts), np.array([len(x) for x in texts])
+    stop = np.cumsum(size)
+    first = stop - size
+    # The least shingle of a window, once for each stretch of windows that share it.
+    least = sliding_least(shingle_hashes(h, MARK_WORDS), WINDOW - MARK_WORDS + 1)
+    at = np.arange(int((size - WINDOW + 1).sum())) + np.repeat(first - (np.cumsum(size - WINDOW + 1) - (size - WINDOW + 1)), size - WINDOW + 1)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (least[at[1:]] != least[at[:-1]]) | (at[1:] != at[:-1] + 1)
+    at = at[new]
+    starts = cut_places(h, first, stop)
+    words = np.diff(starts, append=len(h))
+    elements, counts = sets_of(np.split(h, starts[1:]))
+    one, two = set_keys(elements, counts)
+    bands = band_keys(minima(elements, counts, hasher), hasher)
+    ends = np.searchsorted(starts, stop)
+    own = starts - np.repeat(first, np.diff(ends, prepend=0))
+    ints = pa.int32()
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(ids, pa.int64()), nested(least[at], np.searchsorted(at, stop)), nested(own, ends, ints), nested(words, ends, ints), nested(counts, ends, ints),
+            nested(one, ends), nested(two, ends), nested(bands.reshape(-1), ends * BANDS),
+        ],
+        ["doc_id", "marks", "at", "n_words", "n", "s1", "s2", "bands"],
+    )
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to the least shingles of a text's windows and its paragraphs; texts under LEAST words give no row."""
     hasher, memo = shared("near", ("minhash", BANDS, ROWS), lambda: MinHasher(BANDS, ROWS)), shared("near", ("words",), WordHashes)
-    band_of = hasher.band_by, np.arange(BANDS, dtype=np.uint64)
     for batch in batches:
-        ids, marks, at, size, n, s1, s2, bands = ([] for _ in range(8))
+        ids, texts, held = [], [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
             h = word_hashes(words_of(text or b""), memo)
-            if len(h) < LEAST:
+            if len(h) >= LEAST:
+                ids.append(doc_id)
+                texts.append(h)
+                held += len(h)
+            if held >= GROUP_WORDS:
+                yield _group(ids, texts, hasher)
+                ids, texts, held = [], [], 0
+        if ids:
+            yield _group(ids, texts, hasher)
+
+
+#: Odd factor of the window hashes, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base), dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def window_hashes(h: np.ndarray) -> np.ndarray:
+    """Hash of the words of each window: a polynomial in BASE, from sums over the beginnings of the text."""
+    total = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * powers(BASE, len(h)), out=total[1:])
+    return mixed((total[WINDOW:] - total[:-WINDOW]) * powers(BACK, len(h) - WINDOW + 1))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, marks) to the windows whose least shingle is one of marks."""
+    memo = shared("near", ("words",), WordHashes)
+    for batch in batches:
+        marks = batch.column(2)
+        for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True)):
+            h = word_hashes(words_of(text or b""), memo)
+            if len(h) < WINDOW:
                 continue
-            starts, words, sets = paragraphs_of(h)
-            counts = np.array([len(s) for s in sets])
-            signatures = minima(np.concatenate(sets), np.cumsum(counts) - counts, hasher)
-            keys = [set_key(s) for s in sets]
-            ids.append(doc_id)
-            marks.append(np.unique(least_marks(h)))
-            at.append(starts)
-            size.append(words)
-            n.append(counts)
-            s1.append(np.array([k[0] for k in keys], np.int64))
-            s2.append(np.array([k[1] for k in keys], np.int64))
-            parts = signatures.reshape(len(sets), BANDS, ROWS).astype(np.uint64)
-            bands.append(mixed((parts * band_of[0]).sum(axis=2, dtype=np.uint64) + band_of[1]).reshape(-1))
-        ints = lambda c: longs_list(c).cast(pa.list_(pa.int32()))
-        columns = [pa.array(ids, pa.int64()), longs_list(marks), ints(at), ints(size), ints(n), longs_list(s1), longs_list(s2), longs_list(bands)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "marks", "at", "n_words", "n", "s1", "s2", "bands"])
+            least = sliding_least(shingle_hashes(h, MARK_WORDS), WINDOW - MARK_WORDS + 1)
+            known = np.sort(marks[k].values.to_numpy().view(np.uint64))
+            spot = np.searchsorted(known, least)
+            at = np.flatnonzero(known[np.minimum(spot, len(known) - 1)] == least)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), doc_id, np.int64)), pa.array(at.astype(np.int32)), pa.array(window_hashes(h)[at].view(np.int64))], ["doc_id", "at", "key"]
+                )
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted: list of (at, n_words, id)) to (id, text of the paragraph)."""
+    """Rows (text, wanted: list of (at, n_words, id)) to (id, text of the paragraph), where the text holds it."""
+    memo = shared("near", ("words",), WordHashes)
     for batch in batches:
         ids, texts = [], []
         for text, wanted in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             words = words_of(text or b"")
             for x in wanted:
-                ids.append(x["id"])
-                texts.append(b" ".join(words[x["at"] : x["at"] + x["n_words"]]))
+                own = words[x["at"] : x["at"] + x["n_words"]]
+                if own and int(set_keys(*sets_of([word_hashes(own, memo)]))[0][0]) == x["id"]:
+                    ids.append(x["id"])
+                    texts.append(b" ".join(own))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "text"])
 
 
@@ -126,7 +182,7 @@ def _near_paragraphs(docs: DataFrame, sketch: DataFrame) -> DataFrame:
         first = written(wanted.groupBy("id").agg(F.min(F.struct("doc_id", "at", "n_words")).alias("x")).select("id", "x.*"))
         lists = written(first.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n_words", "id")).alias("wanted")))
         held = sifted(docs, "doc_id", lists.select("doc_id"))[0]
-        return held.dropDuplicates(["doc_id"]).join(lists, "doc_id").select("text", "wanted").mapInArrow(_pick, "id long, text string")
+        return held.join(lists, "doc_id").select("text", "wanted").mapInArrow(_pick, "id long, text string")
 
     found = linked_components(banded, texts_of, BANDS, ROWS, PERCENT, units.select("id", "doc_id", "at", "n_words"))
     least = F.min("doc_id").alias("least"), F.max("doc_id").alias("last")
@@ -230,9 +286,9 @@ def without(text: bytes, parts: list[dict], memo: WordHashes) -> bytes:
         if at + n > len(h):
             continue
         if x["exact"]:
-            key = int(shingle_hashes(h[at : at + WINDOW], WINDOW).view(np.int64)[0])
+            key = int(window_hashes(h[at : at + WINDOW]).view(np.int64)[0])
         else:
-            key = set_key(np.unique(shingle_hashes(h[at : at + n])))[0]
+            key = int(set_keys(*sets_of([h[at : at + n]]))[0][0])
         if key == x["key"]:
             cut[at : at + n] = True
     return without_words(text, cut, places)

@@ -8,6 +8,7 @@ import numpy as np
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
+from tablemill.llm import neardup
 from tablemill.llm import passages as ps
 from tablemill.llm.common import WordHashes, shingle_hashes, word_hashes
 
@@ -111,31 +112,64 @@ def test_cut_takes_all_but_the_first(spark):
         assert out[i].n_chars == len(out[i].text) and out[i].source == f"s{i}" and (i in gone or out[i].text == t)
 
 
-def test_minima_in_parts(monkeypatch):
+def test_sets_that_lie_behind_each_other(monkeypatch):
     rng = np.random.default_rng(1)
     hasher = ps.MinHasher(ps.BANDS, ps.ROWS)
-    sets = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (1, 5, 40, 3, 200, 1)]
-    want = np.array([hasher.signature(s) for s in sets])
-    starts = np.cumsum([len(s) for s in sets]) - [len(s) for s in sets]
+    parts = [rng.integers(0, m, n, dtype=np.uint64) for n, m in ((1, 9), (5, 9), (0, 9), (40, 3), (3, 9), (200, 2**63), (4, 9), (90, 2), (0, 9))]
+    sets = [np.unique(shingle_hashes(p)) for p in parts]
+    elements, counts = neardup.sets_of(parts)
+    assert [x.tolist() for x in np.split(elements, np.cumsum(counts)[:-1])] == [x.tolist() for x in sets]
+    one, two = neardup.set_keys(elements, counts)
+    assert list(zip(one.tolist(), two.tolist())) == [neardup.set_key(x) if len(x) else (0, 0) for x in sets]
+    want = np.array([hasher.signature(x) for x in sets])
     for size in (1, 3, 7, 64, 10**6):
-        monkeypatch.setattr(ps, "AT_ONCE", size)
-        assert (ps.minima(np.concatenate(sets), starts, hasher) == want).all()
+        monkeypatch.setattr(neardup, "AT_ONCE", size)
+        assert (neardup.minima(elements, counts, hasher) == want).all()
+    assert (neardup.band_keys(want, hasher) == np.array([hasher.band_keys(x) for x in want])).all()
+
+
+def test_texts_sketched_together_are_as_alone():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, m, n, dtype=np.uint64) for n, m in ((50, 2**63), (51, 2), (700, 2**63), (99, 3), (100, 2**63), (1500, 40), (50, 1))]
+    hasher = ps.MinHasher(ps.BANDS, ps.ROWS)
+    rows = ps._group(list(range(7)), texts, hasher).to_pylist()
+    for k, h in enumerate(texts):
+        (alone,) = ps._group([k], [h], hasher).to_pylist()
+        assert rows[k] == alone
+        least = [min(shingle_hashes(h[p : p + ps.WINDOW], ps.MARK_WORDS).tolist()) for p in range(len(h) - ps.WINDOW + 1)]
+        assert {x % 2**64 for x in alone["marks"]} == set(least)
+        assert alone["at"] == ps.cuts(h).tolist() and sum(alone["n_words"]) == len(h)
+
+
+def test_window_hashes_depend_on_the_window_only():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    long = np.concatenate([rng.integers(0, 2**64, 90_000, dtype=np.uint64), h])
+    assert (ps.window_hashes(h) == ps.window_hashes(long)[90_000:]).all() and len(set(ps.window_hashes(h).tolist())) == 351
+    swapped = h.copy()
+    swapped[[0, 49]] = h[[49, 0]]
+    assert ps.window_hashes(swapped)[0] != ps.window_hashes(h)[0]
 
 
 def test_edge_cases(spark):
     rng = random.Random(1)
     p = " ".join("p%d" % rng.randrange(10**6) for _ in range(60))
-    x, y = "x1 x2 x3\n" * 30, "\ny1 y2" * 30
+    x, y = "".join(f"x{k} xx{k} xxx{k}\n" for k in range(30)), "".join(f"\ny{k} yy{k}" for k in range(30))
     rows = [
         (1, None, 1, "a"), (2, "", 1, "a"), (3, p, 1, "a"), (3, p, 1, "b"), (3, "other words here", 1, "c"), (None, p, 2, "a"), (4, x + p.upper() + y, 7, "a"),
         (5, "only one of it " + "junk " * 100_000, 3, "a"), (6, "in itself " + " ".join(["q%d" % k for k in range(70)] * 2), 4, "a"), (7, " ".join(p.split()[:49]), 5, "a"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, key string").withColumnsRenamed({"key": "first_word"})
-    assert result(ps.repeated_passages(docs)) == {(3, True): {(0, 60)}, (4, False): {(90, 60)}}
+    found = plain({r[0]: r[1] for r in rows if r[0] is not None and not str(r[1]).startswith("other")})
+    ((at, n),) = found[4, False]
+    assert result(ps.repeated_passages(docs)) == found == {(3, True): {(0, 60)}, (4, False): {(at, n)}} and at <= 90 and at + n >= 150 and n <= 75
     cut = ps.cut_stage(spark, docs.withColumnRenamed("first_word", "kept"), "")
     out = sorted(map(tuple, cut.collect()), key=str)
     assert cut.columns == ["doc_id", "text", "n_chars", "kept"]
-    assert out == sorted([(4, x[:-1] + y, len(x + y) - 1, "a") if r[0] == 4 else r for r in rows], key=str)
+    (left,) = [r[1] for r in out if r[0] == 4]
+    w = (x + p + y).split()
+    assert left.split() == w[:at] + w[at + n :]
+    assert out == sorted([r for r in rows if r[0] != 4] + [next(r for r in out if r[0] == 4)], key=str)
     assert ps.repeated_passages(docs.limit(0)).count() == 0 and ps.cut_stage(spark, docs.limit(0), "").count() == 0
 
 
