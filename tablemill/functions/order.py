@@ -15,9 +15,12 @@ FALSE_WORDS = ("nej", "falskt", "false", "no", "n", "0")
 
 def natural(c: Column | str) -> Column:
     """Text order with digit runs as numbers and the alphabet's own letters last (å, ä, ö)."""
-    parts = F.regexp_extract_all(col(c), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    padded = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=[0-9])", ""), 20, "0")).otherwise(p))
-    return F.collate(F.array_join(padded, ""), "sv")
+    c = col(c)
+    parts = F.regexp_extract_all(c, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    # A number is led by its count of digits, so numbers of any length compare by value.
+    number = lambda p: let(F.regexp_replace(p, "^0+(?=[0-9])", ""), lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d))
+    led = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)), "")
+    return F.collate(F.when(c.rlike("[0-9]"), led).otherwise(c), "sv")
 
 
 def typed_value(c: Column | str, kind: str) -> Column:

@@ -86,12 +86,17 @@ def collapsed(c: Column | str) -> Column:
 
 
 def normaliser(space: bool = True, marks: bool = False, case: bool = True):
-    """The normaliser of duplicates, groups and pivots: each step but the first is an option."""
+    """The normaliser of duplicates, groups and pivots: each step but the first is an option.
+
+    Plain ASCII with single spaces inside, which one regex search finds out, needs no step but the last.
+    """
 
     def run(c: Column | str) -> Column:
-        c = normal(c)
+        plain = col(c)
+        c = normal(plain)
         c = collapsed(c) if space else c
         c = without_marks(c) if marks else c
+        c = F.when(plain.rlike(r"[^\x20-\x7E]" + ("|^ | $|  " if space else "")), c).otherwise(plain)
         return F.lower(c) if case else c
 
     return run
@@ -99,7 +104,8 @@ def normaliser(space: bool = True, marks: bool = False, case: bool = True):
 
 def search_key(c: Column | str) -> Column:
     """The key of free-text search: without marks and case."""
-    return F.lower(without_marks(normal(c)))
+    c = col(c)
+    return F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), without_marks(normal(c))).otherwise(c))
 
 
 def title(c: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablemill.functions.dates import day_number, parse_date
 from tablemill.functions.numbers import parse_strict
+from tablemill.functions.patterns import regex_error
 from tablemill.functions.text import col, normaliser, trimmed
 
 
@@ -276,13 +277,7 @@ def formula(df: DataFrame, source: str, kinds: dict[str, str] | None = None) ->
 
 
 def replace_error(find: str, regex: bool) -> str | None:
-    if not regex:
-        return None
-    try:
-        re.compile(find)
-    except re.error as e:
-        return str(e)
-    return None
+    return regex_error(find) if regex else None
 
 
 def find_replace(c: Column | str, find: str, new: str, regex: bool = False, case: bool = False, whole: bool = False, accents: bool = False) -> Column:

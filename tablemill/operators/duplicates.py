@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions.text import normaliser
+from tablemill.operators.sorting import numbered
 
 
 def _text(c: str) -> Column:
@@ -59,17 +60,15 @@ def remove_surplus(
 ) -> DataFrame:
     """One row of each group stays: the first or last by `order`, or a chosen row while it is in its group."""
     keyed, names = keys_of(df, columns, space, marks, case, empties)
-    rank = F.col(order) if keep == "first" else -F.col(order)
+    rank = F.col(order)
     if chosen:
-        rank = F.struct((~F.col(order).isin(chosen)).alias("c"), rank.alias("r"))
-    best = keyed.filter("_usable").groupBy(*names).agg(F.min_by(order, rank).alias("_best"))
+        rank = F.struct((F.col(order).isin(chosen) != F.lit(keep == "first")).alias("c"), rank.alias("r"))
+    best = keyed.filter("_usable").groupBy(*names).agg((F.min_by if keep == "first" else F.max_by)(order, rank).alias("_best"))
     kept = keyed.filter("_usable").join(best, names).filter(F.col(order) == F.col("_best")).select(*df.columns)
     return kept.unionByName(keyed.filter("not _usable").select(*df.columns))
 
 
 def group_order(df: DataFrame, order: str, columns: list[str], **options) -> DataFrame:
-    """Duplicates with groups side by side: group_number counts groups by their first row."""
+    """Duplicates with groups side by side: group_number counts groups by their first row, by ranges of it."""
     found = duplicate_groups(df, order, columns, **options)
-    firsts = found.select("first_row").distinct()
-    numbered = firsts.withColumn("group_number", F.row_number().over(Window.orderBy("first_row")))
-    return found.join(numbered, "first_row")
+    return found.join(numbered(found.select("first_row").distinct(), [F.col("first_row").asc()], "group_number"), "first_row")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tablemill.functions.dates import parse_date
 from tablemill.functions.infer import violates
 from tablemill.functions.order import natural, typed_value
+from tablemill.functions.patterns import regex_error
 from tablemill.functions.text import col, let, normal, search_key, trimmed
 
 #: Operators by kind. Sizes are for number and date columns only.
@@ -135,11 +136,8 @@ def condition(rule: Rule, dtype: str = "string") -> Column:
 
 def rule_error(rule: Rule) -> str | None:
     """Why a rule can't be used, if so; such a rule is reported and skipped."""
-    if rule.op == "regex":
-        try:
-            re.compile(str(rule.value))
-        except re.error as e:
-            return f"{rule.column}: {e}"
+    if rule.op == "regex" and (e := regex_error(str(rule.value))):
+        return f"{rule.column}: {e}"
     if rule.op in ("longer", "shorter") and not re.fullmatch(r"\s*\d+\s*", str(rule.value)):
         return f"{rule.column}: {rule.value!r} is no length"
     return None

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.functions.order import natural
+from tablemill.functions.order import natural, rank_struct
 from tablemill.functions.text import normaliser
 from tablemill.operators.filters import Filter, apply_filter
 from tablemill.operators.groups import Measure, aggregate, text_of
@@ -165,8 +165,9 @@ def _only(df: DataFrame, m: Measure, order: str, here: Column) -> Column:
 
     own = F.when(here & (text != ""), F.col(f"`{m.column}`") if typed else text)
     number = F.when(here, number_of(df, m.column))
+    rank = own if typed else F.when(here & (text != ""), rank_struct(text, m.kind))
     return {
-        "sum": lambda: F.sum(number), "mean": lambda: F.avg(number), "min": lambda: F.min(own), "max": lambda: F.max(own), "filled": lambda: F.count(own),
+        "sum": lambda: F.sum(number), "mean": lambda: F.avg(number), "min": lambda: F.min_by(own, rank), "max": lambda: F.max_by(own, rank), "filled": lambda: F.count(own),
         "distinct": lambda: F.count_distinct(own), "first": lambda: F.min_by(own, F.when(own.isNotNull(), F.col(order))), "last": lambda: F.max_by(own, F.when(own.isNotNull(), F.col(order))),
     }[m.how]()
 

@@ -78,6 +78,17 @@ def top_k_per(df: DataFrame, by: list[str], levels: list[Level], k: int, tie: st
     return df.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def signature(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free hash of key columns, to see whether a frozen order is stale."""
-    return df.agg(F.count("*").alias("rows"), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in columns)}))").alias("hash"))
+def signature(df: DataFrame, columns: list[str], row: str) -> DataFrame:
+    """(rows, hash) of the key columns by row id, whatever the order of rows, to see whether a frozen order is stale.
+
+    Each cell is hashed with its row's id and column, and nulls apart from empty texts, so equal rows don't cancel and
+    swapped cells show. One partial aggregate.
+    """
+    own = F.xxhash64(F.col(f"`{row}`"), *[x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(own.cast("decimal(38,0)")), F.lit(0)).alias("hash"))
+
+
+def stale(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row `stale`: whether two signatures differ, so that a frozen order has to be made again."""
+    a, b = before.select(F.struct("rows", "hash").alias("a")), after.select(F.struct("rows", "hash").alias("b"))
+    return a.crossJoin(F.broadcast(b)).select((F.col("a") != F.col("b")).alias("stale"))

@@ -95,6 +95,15 @@ def parse_bytes(data: bytes, o: Options | None = None) -> tuple[Parsed, Decoded]
     return parse_text(decoded.text, o, decoded), decoded
 
 
+def parse_file(name: str, content: bytes, o: Options) -> Parsed:
+    """A file by its suffix; one that none of SUFFIXES fits is refused."""
+    from tablemill.sources.xlsx import parse_xlsx
+
+    if not name.lower().endswith(SUFFIXES):
+        raise ValueError(f"{name}: not one of {', '.join(SUFFIXES)}")
+    return parse_xlsx(content, o) if name.lower().endswith(".xlsx") else parse_bytes(content, o)[0]
+
+
 def parse_clipboard(text: str) -> list[list[str]]:
     """Pasted text to rows, without a header."""
     text = text.replace("\r\n", "\n").replace("\r", "\n").rstrip("\n")
@@ -127,17 +136,12 @@ def read_delimited(spark: SparkSession, path: str, o: Options | None = None) ->
 
     Columns are those of the widest file by header; a file that lacks one has empty cells.
     """
-    from tablemill.sources.xlsx import parse_xlsx
-
     o = o or Options()
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def parsed_of(name: str, content: bytes) -> Parsed:
-        return parse_xlsx(bytes(content), o) if name.lower().endswith(".xlsx") else parse_bytes(bytes(content), o)[0]
-
     def names_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, content in _files(batches):
-            names = parsed_of(name, content).names
+            names = parse_file(name, bytes(content), o).names
             yield _batch([pa.array([name] * len(names), pa.string()), pa.array(range(len(names)), pa.int32()), pa.array(names, pa.string())])
 
     seen = files.mapInArrow(names_in, "path string, k int, name string")
@@ -147,7 +151,7 @@ def read_delimited(spark: SparkSession, path: str, o: Options | None = None) ->
 
     def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path_, content in _files(batches):
-            p = parsed_of(path_, content)
+            p = parse_file(path_, bytes(content), o)
             place = {n: k for k, n in enumerate(p.names)}
             for at in range(0, len(p.rows), ROWS_AT_ONCE):
                 some = p.rows[at : at + ROWS_AT_ONCE]
@@ -161,10 +165,11 @@ def read_delimited(spark: SparkSession, path: str, o: Options | None = None) ->
 def import_warnings(spark: SparkSession, path: str, o: Options | None = None) -> DataFrame:
     """(file, kind, n) of every file, and duplicate-file for files of equal content."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    o = o or Options()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, content in _files(batches):
-            w = parse_bytes(content, o)[0].warnings
+            w = parse_file(name, bytes(content), o).warnings
             yield _batch([pa.array([name] * len(w), pa.string()), pa.array([x[0] for x in w], pa.string()), pa.array([x[1] for x in w], pa.int64())])
 
     twice = files.groupBy(F.sha2("content", 256).alias("h")).agg(F.count("*").alias("c"), F.max("path").alias("file")).filter("c > 1")
@@ -172,10 +177,15 @@ def import_warnings(spark: SparkSession, path: str, o: Options | None = None) ->
 
 
 def read_large(spark: SparkSession, path: str, o: Options | None = None) -> DataFrame:
-    """A splittable read of large UTF-8 or Latin-1 files with a header in the first line, all as text."""
+    """A splittable read of large UTF-8 or Windows-1252 files with a header in the first line, all as text.
+
+    UTF-16 can't be split at line ends by its bytes and is refused; read_delimited reads it.
+    """
     o = o or Options()
     head = decode_bytes(_head(spark, path))
-    encoding = {"utf-8": "UTF-8", "cp1252": "ISO-8859-1"}.get(o.encoding or head.encoding, "UTF-8")
+    encoding = {"utf-8": "UTF-8", "cp1252": "windows-1252"}.get(o.encoding or head.encoding)
+    if encoding is None:
+        raise ValueError(f"{path}: {o.encoding or head.encoding} can't be split; use read_delimited")
     return (
         spark.read.option("sep", o.delimiter or sniff(head.text).delimiter).option("header", True).option("quote", '"').option("escape", '"')
         .option("encoding", encoding).option("ignoreLeadingWhiteSpace", o.trim).option("ignoreTrailingWhiteSpace", o.trim).option("nullValue", "\0").option("emptyValue", "").csv(path).na.fill("")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
+from tablemill.functions import text
 from tablemill.operators import columns, comparing, duplicates, filters, fuzzy, groups, matching, pivoting, rows, sorting, stacking
 from tablemill.operators.filters import Filter, Rule
 from tablemill.operators.groups import Measure
@@ -181,3 +182,49 @@ def test_workflows(spark):
     assert dict(flow.counts(df))["phone"] == 1
     with pytest.raises(ValueError):
         Pipeline.from_json('{"version": 2, "steps": []}')
+
+
+def test_answers_that_were_wrong(spark):
+    # Leaf extremes of text columns are by value, like the totals.
+    df = frame(spark, [("a", "x", "9"), ("a", "x", "10"), ("a", "y", "7"), ("b", "y", "")], "g string, h string, v string")
+    plan = pivoting.Plan(["g"], ["h"], [Measure("max", "v", "most", "number"), Measure("min", "v", "least", "number")])
+    got = {r.g: r.asDict() for r in pivoting.pivot_table(df, plan, "i").collect()}
+    assert got["a"]["x · most"] == got["a"]["Totalt · most"] == "10" and got["a"]["x · least"] == "9" and got["a"]["Totalt · least"] == "7" and got["b"]["y · most"] is None
+    # Equal rows don't cancel in a signature, swaps and nulls show, the order of rows doesn't.
+    sign = lambda values: sorting.signature(frame(spark, values, "x string"), ["x"], "i").first()
+    seen = [tuple(sign([(x,) for x in v])) for v in (["a", "a"], ["b", "b"], ["a", "b"], ["b", "a"], ["", "a"], [None, "a"])]
+    assert len(set(seen)) == 6
+    a = frame(spark, [("a",), ("b",), ("c",)], "x string")
+    assert tuple(sorting.signature(a, ["x"], "i").first()) == tuple(sorting.signature(a.orderBy(F.desc("i")), ["x"], "i").first())
+    assert not sorting.stale(sorting.signature(a, ["x"], "i"), sorting.signature(a.repartition(3), ["x"], "i")).first()[0]
+    assert sorting.stale(sorting.signature(a, ["x"], "i"), sorting.signature(a.withColumn("x", F.upper("x")), ["x"], "i")).first()[0]
+    # Identity in an order, and nulls apart from empty texts.
+    b = frame(spark, [("b",), ("a",), ("c",)], "x string")
+    same = lambda *x: comparing.frames_identical(*x).first()[0]
+    assert same(a.drop("i"), b.drop("i")) and not same(a, b, "i") and same(a, a.withColumn("i", F.col("i") * 10), "i") and same(a, a.orderBy(F.desc("i")), "i")
+    assert not same(frame(spark, [(None,)], "x string"), frame(spark, [("",)], "x string"))
+    # Numbers of any length.
+    n = frame(spark, [("x9" + "0" * 20,), ("x10" + "0" * 20,), ("x0009",), ("x10",), ("x",)], "x string")
+    assert [r.x[:4] for r in sorting.sort(n, [sorting.Level("x")], "i").collect()] == ["x", "x000", "x10", "x900", "x100"]
+    # The JVM judges a pattern.
+    assert filters.rule_error(Rule("x", "regex", r"\p{javaUpperCase}++a")) is None and filters.rule_error(Rule("x", "regex", "(?P<x>a)"))
+    assert columns.replace_error("(?P<x>a)", True) and columns.replace_error(r"\h+", True) is None and columns.replace_error("(", False) is None
+    # Orders that aren't numbers.
+    d = spark.createDataFrame([("a", "k"), ("c", "k"), ("b", "k"), ("d", "l")], "o string, x string")
+    assert {r.o for r in duplicates.remove_surplus(d, "o", ["x"], "last").collect()} == {"c", "d"}
+    assert {r.o for r in duplicates.remove_surplus(d, "o", ["x"], "last", chosen=["b"]).collect()} == {"b", "d"}
+
+
+def test_normaliser_short_cut(spark):
+    import unicodedata
+
+    values = ["Plain text", " lead", "trail ", "two  spaces", "tab\there", "Å ä", "é", "a b", "x​", "", "~!@", "A" * 30_000 + " b" * 5000]
+    df = frame(spark, [(v,) for v in values], "x string")
+    for space in (True, False):
+        for marks in (True, False):
+            got = [r.k for r in df.select("i", text.normaliser(space, marks, True)("x").alias("k")).orderBy("i").collect()]
+            for v, k in zip(values, got):
+                want = unicodedata.normalize("NFC", v).replace(" ", " ").replace("​", "")
+                want = " ".join(want.split()) if space else want
+                want = "".join(c for c in unicodedata.normalize("NFD", want) if not unicodedata.combining(c)) if marks else want
+                assert k == want.lower(), (v[:20], space, marks)
