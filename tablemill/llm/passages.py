@@ -38,7 +38,7 @@ MARK_WORDS, GROUP_WORDS = 10, 40_000
 ROWS, MISS = 2, 2.5e-3
 BANDS = tuned_bands(PERCENT / 100, ROWS, MISS)
 
-SKETCH = "doc_id long, marks array<bigint>, at array<int>, n_words array<int>, n array<int>, s1 array<bigint>, s2 array<bigint>, bands array<bigint>"
+SKETCH = "doc_id long, marks array<bigint>, at array<int>, n_words array<int>, n array<int>, s1 array<bigint>, s2 array<bigint>, bands array<bigint>, doubles array<bigint>"
 
 
 def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
@@ -91,14 +91,17 @@ def _group(ids: list, texts: list[np.ndarray], hasher: MinHasher) -> pa.RecordBa
     one, two = set_keys(elements, counts)
     bands = band_keys(minima(elements, counts, hasher), hasher)
     ends = np.searchsorted(starts, stop)
+    # A paragraph with the next one of its text, or alone if there is but one: a hash of their words.
+    behind = np.minimum(np.arange(len(starts)) + 1, np.repeat(ends, np.diff(ends, prepend=0)) - 1)
+    doubles = stretch_hashes(h, starts, (starts + words)[behind])
     own = starts - np.repeat(first, np.diff(ends, prepend=0))
     ints = pa.int32()
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()), nested(least[at], np.searchsorted(at, stop)), nested(own, ends, ints), nested(words, ends, ints), nested(counts, ends, ints),
-            nested(one, ends), nested(two, ends), nested(bands.reshape(-1), ends * BANDS),
+            nested(one, ends), nested(two, ends), nested(bands.reshape(-1), ends * BANDS), nested(doubles, ends),
         ],
-        ["doc_id", "marks", "at", "n_words", "n", "s1", "s2", "bands"],
+        ["doc_id", "marks", "at", "n_words", "n", "s1", "s2", "bands", "doubles"],
     )
 
 
@@ -131,18 +134,24 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def window_hashes(h: np.ndarray) -> np.ndarray:
-    """Hash of the words of each window: a polynomial in BASE, from sums over the beginnings of the text."""
+def stretch_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the words of each stretch: a polynomial in BASE, from sums over the beginnings of the text."""
     total = np.zeros(len(h) + 1, dtype=np.uint64)
     np.cumsum(h * powers(BASE, len(h)), out=total[1:])
-    return mixed((total[WINDOW:] - total[:-WINDOW]) * powers(BACK, len(h) - WINDOW + 1))
+    return mixed((total[stop] - total[start]) * powers(BACK, len(h) + 1)[start] + (stop - start).astype(np.uint64))
+
+
+def window_hashes(h: np.ndarray) -> np.ndarray:
+    """stretch_hashes() of each window."""
+    start = np.arange(len(h) - WINDOW + 1)
+    return stretch_hashes(h, start, start + WINDOW)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, marks) to the windows whose least shingle is one of marks."""
+    """Rows (doc_id, text, marks, later) to the windows whose least shingle is one of marks and that lie in none of the stretches later."""
     memo = shared("near", ("words",), WordHashes)
     for batch in batches:
-        marks = batch.column(2)
+        marks, later = batch.column(2), batch.column(3)
         for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True)):
             h = word_hashes(words_of(text or b""), memo)
             if len(h) < WINDOW:
@@ -150,7 +159,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = sliding_least(shingle_hashes(h, MARK_WORDS), WINDOW - MARK_WORDS + 1)
             known = np.sort(marks[k].values.to_numpy().view(np.uint64))
             spot = np.searchsorted(known, least)
-            at = np.flatnonzero(known[np.minimum(spot, len(known) - 1)] == least)
+            wanted = known[np.minimum(spot, len(known) - 1)] == least
+            for x in later[k].as_py() or ():
+                wanted[x["at"] : x["at"] + x["n_words"] - WINDOW + 1] = False
+            at = np.flatnonzero(wanted)
             if len(at):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(at), doc_id, np.int64)), pa.array(at.astype(np.int32)), pa.array(window_hashes(h)[at].view(np.int64))], ["doc_id", "at", "key"]
@@ -200,10 +212,18 @@ def _near_paragraphs(docs: DataFrame, sketch: DataFrame) -> DataFrame:
 
 
 def _exact_runs(docs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """(doc_id, at, n_words, key, first_doc): runs of windows that at least two documents hold."""
-    wanted = written(_held_twice(sketch.select("doc_id", F.explode("marks").alias("key"))).groupBy("doc_id").agg(F.collect_set("key").alias("marks")))
+    """(doc_id, at, n_words, key, first_doc): runs of windows that at least two documents hold.
+
+    A stretch of two paragraphs that an earlier document holds word by word gives no windows here:
+    the paragraphs are repeated ones already, and whatever else holds such a window meets it in that earlier document.
+    """
+    stretch = "posexplode(doubles) as (k, key)"
+    size = "n_words[k] + if(k + 1 < size(n_words), n_words[k + 1], 0)"
+    doubles = sketch.selectExpr("doc_id", "at", "n_words", stretch).selectExpr("doc_id", "key", "at[k] as at", f"{size} as n_words")
+    later = _held_twice(doubles).filter("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n_words")).alias("later"))
+    wanted = written(_held_twice(sketch.select("doc_id", F.explode("marks").alias("key"))).groupBy("doc_id").agg(F.collect_set("key").alias("marks")).join(later, "doc_id", "left"))
     held = sifted(docs, "doc_id", wanted.select("doc_id"))[0]
-    windows = written(held.join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(_windows, "doc_id long, at int, key long"))
+    windows = written(held.join(wanted, "doc_id").select("doc_id", "text", "marks", "later").mapInArrow(_windows, "doc_id long, at int, key long"))
     drop(wanted)
     rows = _held_twice(windows).withColumn("kept", F.col("doc_id") == F.col("first_doc"))
     run = F.col("at") - F.dense_rank().over(Window.partitionBy("doc_id", "kept").orderBy("at"))
