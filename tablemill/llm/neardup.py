@@ -46,7 +46,7 @@ MISS = 1e-6
 #: Hashes of a batch in the sequential comparison.
 BATCH = 20
 #: Items and shingles that a chunk holds on average at most.
-CHUNK_ITEMS, CHUNK_SHINGLES = 2000, 1_500_000
+CHUNK_ITEMS, CHUNK_SHINGLES = 400, 1_500_000
 #: Shingles whose minima are taken at once.
 AT_ONCE = 1 << 15
 
@@ -267,11 +267,11 @@ def _verify(bands: int, rows: int, percent: int):
     return run
 
 
-def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: int, places: DataFrame | None = None) -> DataFrame:
+def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: int, places: DataFrame | None = None, chunk: int = CHUNK_ITEMS) -> DataFrame:
     """Distinct items (id, n, bands) and their texts to (id, component) of the verified links.
 
     texts: (id, text), or a function that gets the rows of `places` that are candidates and
-    returns (id, text) for them.
+    returns (id, text) for them. chunk: items of a chunk, more if they are small.
     """
     groups = written(coarse_groups(items))
     members = written(items.select("id", "n").join(groups, "id"))
@@ -279,7 +279,7 @@ def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: i
     sizes = written(
         members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select(
             "component",
-            F.ceil(F.greatest(F.col("m") / CHUNK_ITEMS, F.col("total") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
+            F.ceil(F.greatest(F.col("m") / chunk, F.col("total") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
         )
     )
     if places is not None:

@@ -37,6 +37,8 @@ MARK_WORDS, GROUP_WORDS = 10, 40_000
 #: A pair of paragraphs at the threshold shares no band with a probability below MISS.
 ROWS, MISS = 2, 2.5e-3
 BANDS = tuned_bands(PERCENT / 100, ROWS, MISS)
+#: Paragraphs of a chunk of a coarse group.
+CHUNK = 1000
 
 SKETCH = "doc_id long, marks array<bigint>, at array<int>, n_words array<int>, n array<int>, s1 array<bigint>, s2 array<bigint>, bands array<bigint>, doubles array<bigint>"
 
@@ -196,7 +198,7 @@ def _near_paragraphs(docs: DataFrame, sketch: DataFrame) -> DataFrame:
         held = sifted(docs, "doc_id", lists.select("doc_id"))[0]
         return held.join(lists, "doc_id").select("text", "wanted").mapInArrow(_pick, "id long, text string")
 
-    found = linked_components(banded, texts_of, BANDS, ROWS, PERCENT, units.select("id", "doc_id", "at", "n_words"))
+    found = linked_components(banded, texts_of, BANDS, ROWS, PERCENT, units.select("id", "doc_id", "at", "n_words"), CHUNK)
     least = F.min("doc_id").alias("least"), F.max("doc_id").alias("last")
     classes = written(units.groupBy("id", "n", "s2").agg(*least))
     joined = classes.join(found, "id", "left").withColumn("cluster", F.coalesce("component", "id"))
