@@ -768,3 +768,6 @@ def rank_minmax(spark, sf):
     p = table(spark, sf, "part").select("p_brand", F.col("p_size").cast("string").alias("v"))
     key = rank_struct("v", "number")
     return p.groupBy("p_brand").agg(F.min_by("v", key).alias("least"), F.max_by("v", key).alias("most"))
+
+
+from tablemill.plans import more_queries  # noqa: E402, F401  (it registers into the tables above)

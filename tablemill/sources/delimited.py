@@ -23,6 +23,9 @@ from tablemill.sources.sniff import HEAD_BYTES, Sniffed, sniff
 csv.field_size_limit(1 << 30)
 #: Rows that go back to Spark at once.
 ROWS_AT_ONCE = 10_000
+#: The characters that Latin-1 and Windows-1252 give to the same bytes.
+_OWN = bytes(b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+CP1252 = (_OWN.decode("latin-1"), _OWN.decode("cp1252"))
 SUFFIXES = (".csv", ".txt", ".tsv", ".xlsx")
 
 
@@ -120,7 +123,12 @@ def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, HEAD_BYTES).alias("c")).first().c)
+    """The head of the first file that isn't empty; only names and lengths are read of the others."""
+    files = spark.read.format("binaryFile").load(path)
+    first = files.filter("length > 0").select("path").orderBy("path").first()
+    if first is None:
+        return b""
+    return bytes(files.filter(F.col("path") == first.path).select(F.substring("content", 1, HEAD_BYTES).alias("c")).first().c)
 
 
 def preview(spark: SparkSession, path: str, rows: int = 50, o: Options | None = None) -> tuple[Parsed, Sniffed]:
@@ -177,16 +185,20 @@ def import_warnings(spark: SparkSession, path: str, o: Options | None = None) ->
 
 
 def read_large(spark: SparkSession, path: str, o: Options | None = None) -> DataFrame:
-    """A splittable read of large UTF-8 or Windows-1252 files with a header in the first line, all as text.
+    """A splittable read of large UTF-8 or Windows-1252 files, all as text: with a header in the first line, or with header_row None.
 
-    UTF-16 can't be split at line ends by its bytes and is refused; read_delimited reads it.
+    The parts of a folder that many tasks wrote have no header (Format.header False). UTF-16 can't be split at line ends by its bytes and is refused; read_delimited reads it.
     """
     o = o or Options()
     head = decode_bytes(_head(spark, path))
-    encoding = {"utf-8": "UTF-8", "cp1252": "windows-1252"}.get(o.encoding or head.encoding)
+    encoding = {"utf-8": "UTF-8", "cp1252": "ISO-8859-1"}.get(o.encoding or head.encoding)
     if encoding is None:
         raise ValueError(f"{path}: {o.encoding or head.encoding} can't be split; use read_delimited")
-    return (
-        spark.read.option("sep", o.delimiter or sniff(head.text).delimiter).option("header", True).option("quote", '"').option("escape", '"')
+    out = (
+        spark.read.option("sep", o.delimiter or sniff(head.text).delimiter).option("header", o.header_row is not None).option("quote", '"').option("escape", '"')
         .option("encoding", encoding).option("ignoreLeadingWhiteSpace", o.trim).option("ignoreTrailingWhiteSpace", o.trim).option("nullValue", "\0").option("emptyValue", "").csv(path).na.fill("")
     )
+    if encoding == "ISO-8859-1":
+        # Spark's reader has Latin-1, which differs in 27 characters only.
+        out = out.select(*[F.translate(f"`{c}`", *CP1252).alias(c.translate(str.maketrans(*CP1252))) for c in out.columns])
+    return out if o.header_row is not None else out.toDF(*[f"Kolumn {k}" for k in range(1, len(out.columns) + 1)])

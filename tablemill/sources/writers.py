@@ -76,6 +76,17 @@ def to_bytes(df: DataFrame, f: Format = SHEET, columns: list[str] | None = None,
     return (marks.get(f.encoding, b"") if f.mark else b"") + text.encode(f.encoding, "replace"), lost
 
 
+def save_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """One file's bytes to any store that the session can write."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def strict_number(value: str) -> float | None:
     """The strict number grammar on one value, for typed spreadsheet cells."""
     v = value.strip()

@@ -90,3 +90,22 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.v for r in spark.sql("select v from seen").collect()] == ["X"]
+
+
+def test_large_files_by_encoding(spark, tmp_path):
+    import pytest
+
+    text = "Nr;Nämn €\n" + "".join(f"{i};å€ž{i}\n" for i in range(50))
+    (tmp_path / "w.csv").write_bytes(text.encode("cp1252"))
+    got = delimited.read_large(spark, str(tmp_path / "w.csv"))
+    assert got.columns == ["Nr", "Nämn €"] and {r[1] for r in got.collect()} == {f"å€ž{i}" for i in range(50)}
+    (tmp_path / "u.csv").write_bytes(b"\xff\xfe" + text.encode("utf-16-le"))
+    with pytest.raises(ValueError, match="split"):
+        delimited.read_large(spark, str(tmp_path / "u.csv"))
+    with pytest.raises(ValueError, match="not one of"):
+        delimited.parse_file("a.pdf", b"", delimited.Options())
+
+
+def test_warnings_of_a_sheet(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(xlsx.write_xlsx(["a", "b"], [["1", "2"], ["ä;ö", "x,y"]]))
+    assert {(r.kind, r.n) for r in delimited.import_warnings(spark, str(tmp_path / "a.xlsx")).collect()} == {("encoding-uncertain", 1)}
