@@ -20,8 +20,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again before the next stage."""
+    """All stages over documents; each result is written and read again before the next stage, and what it needed is removed."""
     docs = common.read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir))
+        before, docs = docs, common.tidied(stage)(spark, docs, sf_dir)
+        common.drop(before)
     return docs

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemill.plans.scratch import folder
+
 #: Rows of an Arrow batch for Python. Texts can be long, so batches hold few rows.
 BATCH_ROWS = 256
 #: Entries of each of the two generations of a worker's memo.
@@ -26,23 +28,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a new one only if unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="tablemill-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def _delete(jvm, conf, path: str) -> None:
-    try:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-    except Exception:  # the session may be gone
-        pass
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts its lineage.
 
@@ -50,19 +35,45 @@ def written(df: DataFrame) -> DataFrame:
     nothing needs any more.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tablemill-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tablemill_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
 def drop(df: DataFrame) -> None:
-    """Remove what written() wrote for df."""
+    """Remove what written() wrote for df, if that is still there."""
     spark, path = df.sparkSession, getattr(df, "_tablemill_path", None)
     if path:
         sc = spark.sparkContext
-        _delete(sc._jvm, sc._jsc.hadoopConfiguration(), path)
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_OPEN: list[list[DataFrame]] = []
+
+
+def tidied(make):
+    """make, with its result written and the tables that it wrote on the way removed."""
+
+    @wraps(make)
+    def run(*args, **kwargs):
+        _OPEN.append([])
+        try:
+            out = written(make(*args, **kwargs))
+        finally:
+            tables = _OPEN.pop()
+        for table in tables:
+            if table is not out:
+                drop(table)
+        if _OPEN:
+            _OPEN[-1].append(out)
+        return out
+
+    return run
 
 
 #: Words of 64 flags in a sieve: what is broadcast has this bound, whatever the tables hold.

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import drop, written
+from tablemill.llm.common import drop, tidied, written
 
 
+@tidied
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges to (id, component): every node that has an edge, with the least node it reaches.
 

@@ -123,16 +123,19 @@ class Block:
 
     def overlaps(self, h: np.ndarray, table: np.ndarray, shift: np.uint64) -> dict[int, tuple[int, int, int]]:
         """By text: (equal words, compared words, first word) of the best overlap that counts."""
-        diagonals = set()
+        hits: list[np.ndarray] = []
         for k in self.masks:
             s = seed_hashes(h, k)
             at = np.flatnonzero(table[s >> shift]) if len(s) else s
             if not len(at):
                 continue
             low, high = np.searchsorted(self.hashes, s[at], "left"), np.searchsorted(self.hashes, s[at], "right")
-            for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-                for x in range(a, b):
-                    diagonals.add((int(self.owners[x]), p - int(self.places[x])))
+            n = high - low
+            if not n.any():
+                continue
+            x = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+            hits.append(np.stack([self.owners[x].astype(np.int64), np.repeat(at, n) - self.places[x]], axis=1))
+        diagonals = np.unique(np.concatenate(hits), axis=0).tolist() if hits else []
         found: dict[int, tuple[int, int, int]] = {}
         for i, d in diagonals:
             text = self.texts[i]
@@ -154,18 +157,24 @@ class Block:
         return found
 
 
+def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text) with the hashes of the text's words."""
+    memo = shared("decontaminate", ("normal",), NormalHashes)
+    for batch in batches:
+        words = [normal_words(t or b"", memo).tobytes() for t in byte_texts(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary())], ["item_id", "text", "words"])
+
+
 def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_SEEDS) -> Iterator[Block]:
     """Blocks of the benchmark's distinct texts, read in order of item_id; equal texts carry the least id."""
-    memo, ids, texts, held, seen = NormalHashes(), [], [], 0, set()
+    memo, ids, texts, held = NormalHashes(), [], [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    for row in rows.orderBy("item_id").toLocalIterator():
+    first = rows.mapInArrow(_item_keys, "item_id long, text string, words binary").filter("words <> X''").groupBy(F.sha2("words", 256)).agg(F.min(F.struct("item_id", "text")).alias("x"))
+    for row in first.select("x.*").orderBy("item_id", "text").toLocalIterator():
         h = normal_words(row.text.encode(), memo)
-        if not len(h) or h.tobytes() in seen:
-            continue
         if ids and held + len(h) * len(MASKS) > limit:
             yield Block(ids, texts)
-            ids, texts, held, seen = [], [], 0, set()
-        seen.add(h.tobytes())
+            ids, texts, held = [], [], 0
         ids.append(row.item_id)
         texts.append(h)
         held += len(h) * len(MASKS)
@@ -207,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_equal, n_compared, first_word): the best overlap of a document and a benchmark text.
 
     Words are compared in lower case without outer punctuation. Null texts are empty; equal
-    benchmark texts of a block count once, under the least item_id; repeated documents give
+    benchmark texts count once, under the least item_id, whatever the blocks; repeated documents give
     repeated rows. Either table may be empty. Columns but these ids and texts are not read.
     """
     spark = docs.sparkSession

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import drop, prepare, read_table, sifted, written
+from tablemill.llm.common import prepare, read_table, sifted, tidied, written
 
 #: A template token is in so many contents at least, and in this share of its host's contents; nested ones in NESTED of them.
 PAGES, SHARE, NESTED = 5, 0.9, 0.1
@@ -290,17 +290,22 @@ def extract(pages: DataFrame) -> DataFrame:
     prepare(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html", host.alias("host")).withColumn("page_key", F.xxhash64("page_id", "host"))
+    gone = tokens_to_remove(rows)
+    may, rest = sifted(rows, "page_key", gone.select("page_key"))
+    schema = "page_id long, url string, text string, n_chars long"
+    some = may.join(gone, ["page_key", "host"], "left").select("page_id", "url", "html", "tokens")
+    return rest.select("page_id", "url", "html", F.lit(None).cast("array<bigint>").alias("tokens")).union(some).mapInArrow(_extract, schema)
+
+
+@tidied
+def tokens_to_remove(rows: DataFrame) -> DataFrame:
+    """(page_key, host, html) to (page_key, host, tokens): the template tokens that pages hold. A written table."""
     parsed = written(
         rows.select("page_key", "host", "html").mapInArrow(_tokens, "page_key long, host string, content long, paths array<bigint>, tokens array<bigint>, counts array<bigint>")
     )
     valid = written(template_tokens(parsed))
     held = parsed.select("page_key", "host", F.explode("tokens").alias("token")).filter("token <> 0").join(valid, ["host", "token"])
-    gone = written(held.groupBy("page_key", "host").agg(F.collect_set("token").alias("tokens")))
-    drop(parsed)
-    may, rest = sifted(rows, "page_key", gone.select("page_key"))
-    schema = "page_id long, url string, text string, n_chars long"
-    some = may.join(gone, ["page_key", "host"], "left").select("page_id", "url", "html", "tokens")
-    return rest.select("page_id", "url", "html", F.lit(None).cast("array<bigint>").alias("tokens")).union(some).mapInArrow(_extract, schema)
+    return held.groupBy("page_key", "host").agg(F.collect_set("token").alias("tokens"))
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:

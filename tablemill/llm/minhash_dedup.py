@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import MinHasher, WordHashes, byte_texts, prepare, read_table, shared, sifted, written
+from tablemill.llm.common import MinHasher, WordHashes, byte_texts, prepare, read_table, shared, sifted, tidied, written
 from tablemill.llm.neardup import distinct_shingles, linked_components, longs_list, set_key
 
 #: A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**6)**20 < 1e-4.
@@ -37,6 +37,7 @@ def _sketch(bands: int, rows: int):
     return run
 
 
+@tidied
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text) to (doc_id, n_shingles, component_id, kept).
 

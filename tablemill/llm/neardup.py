@@ -30,11 +30,11 @@ from tablemill.llm.common import (
     MinHasher,
     WordHashes,
     byte_texts,
-    drop,
     mixed,
     shared,
     shingle_hashes,
     sifted,
+    tidied,
     word_hashes,
     words_of,
     written,
@@ -150,9 +150,7 @@ def coarse_groups(items: DataFrame) -> DataFrame:
     keys = items.select("id", F.explode("bands").alias("key"))
     buckets = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low"))
     edges = sifted(keys, "key", buckets.select("key"))[0].join(buckets, "key").filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    out = connected_components(edges.distinct())
-    drop(buckets)
-    return out
+    return connected_components(edges.distinct())
 
 
 def blocks_of(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -267,15 +265,14 @@ def _verify(bands: int, rows: int, percent: int):
     return run
 
 
+@tidied
 def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: int, places: DataFrame | None = None, chunk: int = CHUNK_ITEMS) -> DataFrame:
     """Distinct items (id, n, bands) and their texts to (id, component) of the verified links.
 
     texts: (id, text), or a function that gets the rows of `places` that are candidates and
     returns (id, text) for them. chunk: items of a chunk, more if they are small.
     """
-    groups = written(coarse_groups(items))
-    members = written(items.select("id", "n").join(groups, "id"))
-    drop(groups)
+    members = written(items.select("id", "n").join(coarse_groups(items), "id"))
     sizes = written(
         members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select(
             "component",
@@ -287,8 +284,4 @@ def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: i
     else:
         texts = sifted(texts, "id", members.select("id"))[0]
     links = written(blocks_of(members, sizes, texts).mapInArrow(_verify(bands, rows, percent), "a long, b long"))
-    drop(members)
-    drop(sizes)
-    out = written(connected_components(links))
-    drop(links)
-    return out
+    return connected_components(links)

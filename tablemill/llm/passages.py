@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import MinHasher, WordHashes, byte_texts, drop, mixed, prepare, read_table, shared, shingle_hashes, sifted, word_hashes, words_of, written
+from tablemill.llm.common import MinHasher, WordHashes, byte_texts, mixed, prepare, read_table, shared, shingle_hashes, sifted, tidied, word_hashes, words_of, written
 from tablemill.llm.neardup import band_keys, linked_components, minima, set_keys, sets_of
 from tablemill.llm.substring_dedup import WINDOW, _held_twice, tuned_bands
 
@@ -208,7 +208,6 @@ def _near_paragraphs(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     clusters = written(linked.groupBy("cluster").agg(F.min("least").alias("first_doc"), F.max("last").alias("last_doc")).filter("first_doc < last_doc"))
     several = linked.join(clusters, "cluster").select("id", "n", "s2", "first_doc")
     named = written(alone.union(several))
-    drop(classes)
     may = sifted(units, "id", named.select("id"))[0]
     return may.join(named, ["id", "n", "s2"]).select("doc_id", "at", "n_words", F.col("id").alias("key"), "first_doc")
 
@@ -226,7 +225,6 @@ def _exact_runs(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     wanted = written(_held_twice(sketch.select("doc_id", F.explode("marks").alias("key"))).groupBy("doc_id").agg(F.collect_set("key").alias("marks")).join(later, "doc_id", "left"))
     held = sifted(docs, "doc_id", wanted.select("doc_id"))[0]
     windows = written(held.join(wanted, "doc_id").select("doc_id", "text", "marks", "later").mapInArrow(_windows, "doc_id long, at int, key long"))
-    drop(wanted)
     rows = _held_twice(windows).withColumn("kept", F.col("doc_id") == F.col("first_doc"))
     run = F.col("at") - F.dense_rank().over(Window.partitionBy("doc_id", "kept").orderBy("at"))
     return (
@@ -237,6 +235,7 @@ def _exact_runs(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     )
 
 
+@tidied
 def parts_of_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to the paragraphs and runs of windows that make up the repeated passages.
 
@@ -260,8 +259,6 @@ def parts_of_passages(docs: DataFrame) -> DataFrame:
         .filter(F.col("passage_words") >= LEAST)
         .select("doc_id", "at", "n_words", "key", "exact", "first_doc", "kept", "first_word", "passage_words")
     )
-    out = written(out)
-    drop(sketch)
     return out
 
 
