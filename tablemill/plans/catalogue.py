@@ -396,14 +396,27 @@ def frames_identical(spark, sf):
     return comparing.frames_identical(n, n.repartition(3))
 
 
-@register("fuzzy_pairs")
+#: Trigrams and words of both sides, candidates over grams that aren't too frequent, the better of two Dice scores, three a value.
+FUZZY = """
+WITH a AS (SELECT trim(lower(v)) AS k, min(v) AS v FROM ({left}) WHERE length(trim(lower(v))) >= 4 GROUP BY 1), b AS (SELECT trim(lower(v)) AS k, min(v) AS v FROM ({right}) WHERE length(trim(lower(v))) >= 4 GROUP BY 1),
+ta AS (SELECT k, v, list_distinct(list_transform(range(1, length(k) + 2), lambda i: substr('  ' || k || ' ', i, 3))) AS t, list_distinct(list_filter(string_split_regex(k, '\\s+'), lambda w: w <> '')) AS w FROM a),
+tb AS (SELECT k, v, list_distinct(list_transform(range(1, length(k) + 2), lambda i: substr('  ' || k || ' ', i, 3))) AS t, list_distinct(list_filter(string_split_regex(k, '\\s+'), lambda w: w <> '')) AS w FROM b),
+grams AS (SELECT k, unnest(t) AS g FROM tb), spread AS (SELECT g, count(*) AS n, (SELECT count(*) FROM b) AS size FROM grams GROUP BY 1),
+asked AS (SELECT k, g, n, size >= 20 AND n > 0.1 * size AS stop, bool_or(NOT (size >= 20 AND n > 0.1 * size)) OVER (PARTITION BY k) AS rare, min(n) OVER (PARTITION BY k) AS rarest FROM (SELECT k, unnest(t) AS g FROM ta) JOIN spread USING (g)),
+met AS (SELECT DISTINCT asked.k AS lk, grams.k AS rk FROM asked JOIN grams USING (g) WHERE NOT stop OR (NOT rare AND n = rarest)),
+scored AS (SELECT lk, rk, ta.v AS left_value, tb.v AS right_value, greatest(2.0 * len(list_intersect(ta.t, tb.t)) / (len(ta.t) + len(tb.t)), 0.95 * (2.0 * len(list_intersect(ta.w, tb.w)) / (len(ta.w) + len(tb.w)))) AS score FROM met JOIN ta ON lk = ta.k JOIN tb ON rk = tb.k),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lk ORDER BY score DESC, rk) AS place, row_number() OVER (PARTITION BY rk ORDER BY score DESC, lk) AS back FROM scored WHERE score >= 0.65)
+SELECT left_value, right_value, round(score, 6) AS score, CAST(place AS INT) AS place, place = 1 AND back = 1 AS mutual FROM placed WHERE place <= 3"""
+
+
+@register("fuzzy_pairs", FUZZY.format(left="SELECT substr(s_name, 1, 3) || 'x' || substr(s_name, 4) AS v FROM supplier", right="SELECT s_name AS v FROM supplier"))
 def fuzzy_pairs(spark, sf):
     s = table(spark, sf, "supplier")
     typo = s.select(F.expr("concat(substring(s_name, 1, 3), 'x', substring(s_name, 4, 100))").alias("name"))
     return fuzzy.suggest(typo, s, "name", "s_name").withColumn("score", F.round("score", 6))
 
 
-@register("fuzzy_bench")
+@register("fuzzy_bench", FUZZY.format(left="SELECT reverse(p_name) AS v FROM part UNION ALL SELECT p_name || 's' FROM part", right="SELECT p_name AS v FROM part"))
 def fuzzy_bench(spark, sf):
     p = table(spark, sf, "part").select("p_name").distinct()
     return fuzzy.suggest(p.select(F.reverse("p_name").alias("name")).union(p.select(F.expr("concat(p_name, 's')").alias("name"))), p, "name", "p_name").withColumn("score", F.round("score", 6))
