@@ -3,7 +3,8 @@
 A word's vector joins a learned embedding of the word with the attention-pooled states of a
 bidirectional GRU over its characters. A second bidirectional GRU with attention pooling runs over
 each window of words and gives the window's logit. A text's score comes from its largest window
-logit over all overlapping windows of the whole text.
+logit over the overlapping windows of the whole text: each starts STRIDE words, half a window, behind the
+one before it, and the last one ends with the text.
 
 The network learns from a bounded sample of labelled documents (SAMPLE by label, each of at most
 SAMPLE_CHARS characters); a document's label is held against the soft maximum of its windows.
@@ -316,47 +317,61 @@ class Scorer:
             at = np.array([y for w, x in zip(words, found, strict=True) for y in (self.more[w] if x == -2 else (x,))], dtype=np.int64)
         return at[at >= 0]
 
-    def _group(self, group: list[tuple[int, list[bytes]]], top: np.ndarray) -> None:
-        """Windows of some runs of words, learned and run together."""
-        new = {w for _, words in group for w in words if w not in self.known}
+    def _group(self, group: list[tuple[int, list[bytes], int, bool]], top: np.ndarray) -> tuple[list[bytes], int]:
+        """Windows of some runs of words, learned and run together; runs are (text, words, places to skip, ends the text).
+
+        Returns what the run behind a last one that doesn't end its text starts with: words, and places to skip. So the
+        windows of a text of several runs are those that it has as a whole.
+        """
+        new = {w for _, words, _, _ in group for w in words if w not in self.known}
         if len(self.known) + len(new) > TABLE_WORDS:
             self.empty()
-            new = {w for _, words in group for w in words}
+            new = {w for _, words, _, _ in group for w in words}
         self.learn(sorted(new))
-        parts = [windows_of(self.places(words)) for _, words in group]
-        owner = np.repeat([k for k, _ in group], [len(w) for w in parts])
+        parts = [windows_of(self.places(words)[skip:]) for _, words, skip, _ in group]
+        rest: tuple[list[bytes], int] = [], 0
+        _, words, skip, ends = group[-1]
+        if not ends:
+            size = np.cumsum([len(self.more[w]) if self.known[w] == -2 else int(self.known[w] >= 0) for w in words])
+            n = int(size[-1]) - skip if len(size) else 0
+            whole = max(0, (n - WINDOW) // STRIDE + 1)
+            parts[-1] = parts[-1][:whole]
+            start = skip + max(0, whole - 1) * STRIDE
+            first = int(np.searchsorted(size, start, "right"))
+            rest = words[first:], start - (int(size[first - 1]) if first else 0)
+        owner = np.repeat([k for k, _, _, _ in group], [len(w) for w in parts])
         windows = np.concatenate(parts)
         for at in range(0, len(windows), AT_ONCE):
             np.maximum.at(top, owner[at : at + AT_ONCE], self.network.logits(self.table, windows[at : at + AT_ONCE]))
+        return rest
 
     def many(self, texts: list[bytes | None]) -> np.ndarray:
         """Scores of whole texts, from the largest logit of all their windows."""
         top, group, n = np.full(len(texts), -np.inf), [], 0
         for k, text in enumerate(texts):
-            for words in runs_of(text or b""):
-                group.append((k, words))
-                n += len(words)
-                if n >= GROUP_WORDS:
-                    self._group(group, top)
+            words, skip = [], 0
+            for more, ends in runs_of(text or b""):
+                group.append((k, words + more, skip, ends))
+                n += len(group[-1][1])
+                words, skip = [], 0
+                if n >= GROUP_WORDS or not ends:
+                    words, skip = self._group(group, top)
                     group, n = [], 0
         if group:
             self._group(group, top)
         return sigmoid(top + self.network.shift)
 
 
-def runs_of(text: bytes) -> Iterator[list[bytes]]:
-    """A text's words, in runs of at most about RUN_BYTES that share WINDOW words with the next."""
-    if len(text) <= RUN_BYTES:
-        yield text.split()
-        return
-    at, last = 0, []
-    while at < len(text):
+def runs_of(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
+    """A text's words in runs of at most about RUN_BYTES, and whether a run is the last."""
+    at = 0
+    while at + RUN_BYTES < len(text):
         stop = at + RUN_BYTES
         while stop < len(text) and not text[stop : stop + 1].isspace():
             stop += 1
-        words = text[at:stop].split()
-        yield last + words
-        last, at = (last + words)[-WINDOW:], stop
+        yield text[at:stop].split(), False
+        at = stop
+    yield text[at:].split(), True
 
 
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Network:
