@@ -269,7 +269,7 @@ def _verify(bands: int, rows: int, percent: int):
 def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: int, places: DataFrame | None = None, chunk: int = CHUNK_ITEMS) -> DataFrame:
     """Distinct items (id, n, bands) and their texts to (id, component) of the verified links.
 
-    texts: (id, text), or a function that gets the rows of `places` that are candidates and
+    texts: (id, text), or a function that gets the least row of `places` of each candidate and
     returns (id, text) for them. chunk: items of a chunk, more if they are small.
     """
     members = written(items.select("id", "n").join(coarse_groups(items), "id"))
@@ -280,7 +280,10 @@ def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: i
         )
     )
     if places is not None:
-        texts = texts(places.join(members.select("id"), "id", "left_semi"))
+        # The least place of each item, by partial aggregates first: an item may have a third of all places.
+        least = F.min(F.struct(*[c for c in places.columns if c != "id"])).alias("x")
+        first = sifted(places, "id", members.select("id"))[0].groupBy("id").agg(least).select("id", "x.*")
+        texts = texts(first.join(members.select("id"), "id", "left_semi"))
     else:
         texts = sifted(texts, "id", members.select("id"))[0]
     links = written(blocks_of(members, sizes, texts).mapInArrow(_verify(bands, rows, percent), "a long, b long"))

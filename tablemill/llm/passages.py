@@ -192,8 +192,7 @@ def _near_paragraphs(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     units = sketch.selectExpr("doc_id", fields).select("doc_id", "x.at", "x.n_words", "x.n", F.col("x.s1").alias("id"), "x.s2")
     banded = sketch.selectExpr("bands", fields).selectExpr("x.s1 as id", "x.n as n", f"slice(bands, k * {BANDS} + 1, {BANDS}) as bands")
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        first = written(wanted.groupBy("id").agg(F.min(F.struct("doc_id", "at", "n_words")).alias("x")).select("id", "x.*"))
+    def texts_of(first: DataFrame) -> DataFrame:
         lists = written(first.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n_words", "id")).alias("wanted")))
         held = sifted(docs, "doc_id", lists.select("doc_id"))[0]
         return held.join(lists, "doc_id").select("text", "wanted").mapInArrow(_pick, "id long, text string")
