@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 HARD_SPACES = "\u00a0\u2007\u202f"
 #: White space of the trimming and collapsing rules: Unicode white space and the byte order mark.
-SPACE = r"[\s\x{FEFF}]"
+WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = rf"[{WHITE}\x{{FEFF}}]"
 _MARKS = r"[\x{0300}-\x{036F}]"
 
 
@@ -66,12 +67,13 @@ def nfc(c: Column | str) -> Column:
 
 def trimmed(c: Column | str) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(col(c), rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col(c), rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def normal(c: Column | str) -> Column:
-    """What every comparison starts from: NFC, no invisible characters, plain spaces."""
-    return F.translate(nfc(c), HARD_SPACES + INVISIBLE, " " * len(HARD_SPACES))
+    """What every comparison starts from: NFC, no invisible characters, plain spaces; one search finds out whether any of it is needed."""
+    c = col(c)
+    return F.when(c.rlike(f"[{HARD_SPACES}{INVISIBLE}{_MARKS[1:]}"), F.translate(nfc(c), HARD_SPACES + INVISIBLE, " " * len(HARD_SPACES))).otherwise(c)
 
 
 def without_marks(c: Column | str) -> Column:
@@ -82,7 +84,7 @@ def without_marks(c: Column | str) -> Column:
 
 def collapsed(c: Column | str) -> Column:
     """One space for each run of white space, none at the ends."""
-    return trimmed(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    return trimmed(F.regexp_replace(col(c), f"[{WHITE}]+", " "))
 
 
 def normaliser(space: bool = True, marks: bool = False, case: bool = True):
