@@ -267,12 +267,14 @@ def _verify(bands: int, rows: int, percent: int):
 
 @tidied
 def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: int, places: DataFrame | None = None, chunk: int = CHUNK_ITEMS) -> DataFrame:
-    """Distinct items (id, n, bands) and their texts to (id, component) of the verified links.
+    """Items (id, n, bands), which may repeat, and their texts to (id, component) of the verified links.
 
     texts: (id, text), or a function that gets the least row of `places` of each candidate and
     returns (id, text) for them. chunk: items of a chunk, more if they are small.
     """
-    members = written(items.select("id", "n").join(coarse_groups(items), "id"))
+    groups = coarse_groups(items)
+    once = sifted(items.select("id", "n"), "id", groups.select("id"))[0].groupBy("id").agg(F.max("n").alias("n"))
+    members = written(once.join(groups, "id"))
     sizes = written(
         members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select(
             "component",
