@@ -37,7 +37,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tablemill.llm.common import Memo, Published, prepare, read_table
+from tablemill.llm.common import Memo, Published, columns_of, prepare, read_table
 
 #: The pre-tokenizer's published pattern. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -532,7 +532,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
     own = T._parse_datatype_string(OWN + (", ids array<int>" if with_ids else ""))
     taken = {f.name.lower() for f in own}
     if with_ids:
-        docs = docs.select(*[c for c in docs.columns if c.lower() not in taken])
+        docs = docs.select(*columns_of(docs, [c for c in docs.columns if c.lower() not in taken]))
     else:
         docs = docs.select("doc_id", "text")
     schema = T.StructType([f for f in docs.schema if with_ids or f.name != "text"] + own.fields)

@@ -76,6 +76,19 @@ def tidied(make):
     return run
 
 
+def columns_of(df: DataFrame, names: list[str] | None = None) -> list:
+    """df's columns, or some of them, whatever characters their names hold."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in (df.columns if names is None else names)]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, so that df has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Words of 64 flags in a sieve: what is broadcast has this bound, whatever the tables hold.
 SIEVE_WORDS = 1 << 17
 
@@ -87,7 +100,7 @@ def sifted(df: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataF
     that is broadcast; an exact join has to follow for the first part, whose share of df grows with
     ids. Rows with a null belong to the second part. The text columns of the second part are never shuffled.
     """
-    word, bits = "_sieve_word_", "_sieve_bits_"
+    word, bits = fresh(df, "_sieve_word"), fresh(df, "_sieve_bits")
     spot = f"(xxhash64({{0}}) >>> 6) & {SIEVE_WORDS - 1}L"
     flag = "cast(xxhash64({0}) & 63L as int)"
     ids = ids.toDF("_sieve_id_").filter("_sieve_id_ is not null")
@@ -95,7 +108,7 @@ def sifted(df: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataF
     key = f"cast(`{column}` as bigint)"
     marked = df.join(F.broadcast(sieve), F.expr(spot.format(key)) == F.col(word), "left")
     hit = F.expr(f"`{column}` is not null and {bits} is not null and (shiftright({bits}, {flag.format(key)}) & 1L) = 1L")
-    return marked.filter(hit).select(*[df[c] for c in df.columns]), marked.filter(~hit).select(*[df[c] for c in df.columns])
+    return marked.filter(hit).select(*columns_of(df)), marked.filter(~hit).select(*columns_of(df))
 
 
 class Memo(dict):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import MinHasher, WordHashes, byte_texts, prepare, read_table, shared, sifted, tidied, written
+from tablemill.llm.common import MinHasher, WordHashes, byte_texts, columns_of, prepare, read_table, shared, sifted, tidied, written
 from tablemill.llm.neardup import distinct_shingles, linked_components, longs_list, set_key
 
 #: A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**6)**20 < 1e-4.
@@ -77,8 +77,8 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     dropped = written(near_duplicates(docs).filter("not kept").select("doc_id").distinct())
     may, stay = sifted(docs, "doc_id", dropped)
-    gone = dropped.toDF("_gone_id")
-    return stay.union(may.join(gone, may["doc_id"] == gone["_gone_id"], "left_anti").select(*[may[c] for c in docs.columns]))
+    gone = dropped.toDF("gone_id")
+    return stay.union(may.join(gone, may["doc_id"] == gone["gone_id"], "left_anti").select(*columns_of(may)))
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import MinHasher, WordHashes, byte_texts, mixed, prepare, read_table, shared, shingle_hashes, sifted, tidied, word_hashes, words_of, written
+from tablemill.llm.common import MinHasher, WordHashes, byte_texts, columns_of, fresh, mixed, prepare, read_table, shared, shingle_hashes, sifted, tidied, word_hashes, words_of, written
 from tablemill.llm.neardup import band_keys, linked_components, minima, set_keys, sets_of
 from tablemill.llm.substring_dedup import WINDOW, _held_twice, tuned_bands
 
@@ -313,12 +313,12 @@ def without(text: bytes, parts: list[dict], memo: WordHashes) -> bytes:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with _gone_parts_: text without them."""
+    """Rows whose last column has parts of the text, or null: text without them."""
     memo = shared("near", ("words",), WordHashes)
     for batch in batches:
         at = batch.schema.names.index("text")
         out = []
-        for text, parts in zip(byte_texts(batch.column(at)), batch.column("_gone_parts_").to_pylist(), strict=True):
+        for text, parts in zip(byte_texts(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             out.append(text if text is None or not parts else without(text, parts, memo))
         yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.binary()).cast(batch.schema.field(at).type))
 
@@ -330,16 +330,17 @@ def cut_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     lose nothing are passed on as they are, unshuffled, as are nulls. Rows that repeat a doc_id lose the same parts, as far
     as their texts hold them. An empty table stays empty; other columns are carried, whatever their names.
     """
-    gone = parts_of_passages(docs).filter("not kept").dropDuplicates(["doc_id", "at", "n_words", "exact"]).groupBy(F.col("doc_id").alias("_gone_id_")).agg(
-        F.collect_list(F.struct("at", "n_words", "key", "exact")).alias("_gone_parts_")
+    own, lost = fresh(docs, "gone_id"), fresh(docs, "gone_parts")
+    gone = parts_of_passages(docs).filter("not kept").dropDuplicates(["doc_id", "at", "n_words", "exact"]).groupBy(F.col("doc_id").alias(own)).agg(
+        F.collect_list(F.struct("at", "n_words", "key", "exact")).alias(lost)
     )
     gone = written(gone)
-    may, stay = sifted(docs, "doc_id", gone.select("_gone_id_"))
-    out = may.join(gone, may["doc_id"] == gone["_gone_id_"], "left")
+    may, stay = sifted(docs, "doc_id", gone.select(own))
+    out = may.join(gone, may["doc_id"] == gone[own], "left")
     out = out.mapInArrow(_cut, out.schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone_id_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return stay.union(out.select(*docs.columns))
+        out = out.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return stay.union(out.select(*columns_of(out, docs.columns)))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tablemill.llm import common, decontaminate, toxicity
 
 SF = "/root/testdata/sf0.001"
 #: Names that the stages use inside.
-CLASH = ["n_tokens", "_gone_id", "_gone_id_", "_gone_parts_", "kept", "key", "id", "first_doc", "component", "score", "label", "at", "stop", "island"]
+CLASH = ["n_tokens", "_gone_id", "_gone_id_", "gone_id", "gone_parts", "_sieve_word", "_sieve_bits", "kept", "key", "id", "first_doc", "component", "score", "label", "at", "stop", "island"]
 
 
 @pytest.fixture(scope="module")
