@@ -45,8 +45,11 @@ def rank_struct(c: Column | str, kind: str = "text", custom: list[str] | None =
     return let(value, lambda v: F.struct(v.isNull().cast("int").alias("bad"), F.coalesce(v, F.lit(0.0)).alias("value"), natural(c).alias("text"), c.alias("raw")))
 
 
+def sort_keys(c: Column | str, kind: str = "text", ascending: bool = True, custom: list[str] | None = None) -> list[tuple[Column, str]]:
+    """Keys to sort by, each with its way: empties last both ways; descending turns the ranks, so unreadable values lead."""
+    return [(F.when(col(c) == "", 1).otherwise(0), "asc"), (rank_struct(c, kind, custom), "asc" if ascending else "desc")]
+
+
 def sort_columns(c: Column | str, kind: str = "text", ascending: bool = True, custom: list[str] | None = None) -> list[Column]:
-    """Columns to sort by: empties last both ways; descending turns the ranks, so unreadable values lead."""
-    key = rank_struct(c, kind, custom)
-    parts = [key["bad"], key["value"], key["text"], key["raw"]]
-    return [F.when(col(c) == "", 1).otherwise(0).asc(), *(p.asc() if ascending else p.desc() for p in parts)]
+    """sort_keys() as columns to sort by; for many rows make the keys columns first, see operators.sorting."""
+    return [getattr(key, way)() for key, way in sort_keys(c, kind, ascending, custom)]

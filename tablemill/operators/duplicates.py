@@ -66,12 +66,13 @@ def remove_surplus(
     Each task keeps one row a key before the shuffle, so a key with a third of all rows costs one row a task.
     """
     keyed, names = keys_of(df, columns, space, marks, case, empties)
-    rank = F.col(order)
+    row = F.col(f"`{order}`")
+    rank = [row.isNull() if keep == "first" else row.isNotNull(), row]
     if chosen:
-        rank = F.struct((F.col(order).isin(chosen) != F.lit(keep == "first")).alias("c"), rank.alias("r"))
+        rank = [row.isin(chosen) != F.lit(keep == "first"), *rank]
     own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    kept = keyed.filter("_usable").groupBy(*names).agg((F.min_by if keep == "first" else F.max_by)(own, rank).alias("_best")).filter("_best is not null").select("_best.*")
-    return kept.unionByName(keyed.filter("not _usable").select(*df.columns))
+    alone = F.when(~F.col("_usable"), F.monotonically_increasing_id())
+    return keyed.withColumn("_alone", alone).groupBy(*names, "_alone").agg((F.min_by if keep == "first" else F.max_by)(own, F.struct(*rank)).alias("_best")).select("_best.*")
 
 
 def group_order(df: DataFrame, order: str, columns: list[str], **options) -> DataFrame:

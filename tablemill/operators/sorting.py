@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.functions.order import sort_columns
+from tablemill.functions.order import sort_keys
 
 #: Palette order of cell colours; 0 is none.
 COLOURS = range(1, 8)
@@ -22,9 +22,9 @@ class Level:
     colour: bool = False
 
 
-def order_of(df: DataFrame, levels: list[Level], tie: str | None = None) -> list[Column]:
-    """Columns to sort by; levels of missing columns are skipped, ties keep the order of `tie`."""
-    out: list[Column] = []
+def keys_of(df: DataFrame, levels: list[Level], tie: str | None = None) -> list[tuple[Column, str]]:
+    """Keys to sort by, each with its way; levels of missing columns are skipped, ties keep the order of `tie`."""
+    out: list[tuple[Column, str]] = []
     types = dict(df.dtypes)
     for x in levels:
         if x.column not in types:
@@ -32,16 +32,28 @@ def order_of(df: DataFrame, levels: list[Level], tie: str | None = None) -> list
         c = F.col(f"`{x.column}`")
         if x.colour:
             none = F.when(F.coalesce(c, F.lit(0)) == 0, 1).otherwise(0)
-            out += [none.asc(), c.asc() if x.ascending else c.desc()]
+            out += [(none, "asc"), (c, "asc" if x.ascending else "desc")]
         elif types[x.column] != "string" and not x.custom:
-            out.append(c.asc_nulls_last() if x.ascending else c.desc_nulls_last())
+            out.append((c, "asc_nulls_last" if x.ascending else "desc_nulls_last"))
         else:
-            out += sort_columns(F.coalesce(c.cast("string"), F.lit("")), x.kind, x.ascending, x.custom)
-    return out + ([F.col(tie).asc()] if tie else [])
+            out += sort_keys(F.coalesce(c.cast("string"), F.lit("")), x.kind, x.ascending, x.custom)
+    return out + ([(F.col(tie), "asc")] if tie else [])
+
+
+def order_of(df: DataFrame, levels: list[Level], tie: str | None = None) -> list[Column]:
+    """keys_of() as columns to sort by."""
+    return [getattr(key, way)() for key, way in keys_of(df, levels, tie)]
+
+
+def keyed(df: DataFrame, keys: list[tuple[Column, str]]) -> tuple[DataFrame, list[Column], list[str]]:
+    """df with the keys as columns, so that a sort compares them and doesn't work them out at each comparison."""
+    names = [f"_sort_{i}" for i in range(len(keys))]
+    return df.withColumns({n: key for n, (key, _) in zip(names, keys, strict=True)}), [getattr(F.col(n), way)() for n, (_, way) in zip(names, keys, strict=True)], names
 
 
 def sort(df: DataFrame, levels: list[Level], tie: str | None = None) -> DataFrame:
-    return df.orderBy(*order_of(df, levels, tie))
+    out, order, names = keyed(df, keys_of(df, levels, tie))
+    return out.orderBy(*order).drop(*names)
 
 
 def ranked(df: DataFrame, levels: list[Level], tie: str, name: str = "rank") -> DataFrame:
@@ -50,7 +62,8 @@ def ranked(df: DataFrame, levels: list[Level], tie: str, name: str = "rank") ->
     Rows are sorted by ranges; each range numbers its own rows and adds the rows of the ranges
     before it, so no task sees more than its range.
     """
-    return numbered(df, order_of(df, levels, tie), name)
+    out, order, names = keyed(df, keys_of(df, levels, tie))
+    return numbered(out, order, name).drop(*names)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -69,13 +82,14 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 def top_k(df: DataFrame, levels: list[Level], k: int, tie: str | None = None) -> DataFrame:
     """The first k rows: each task keeps k of its own."""
-    return sort(df, levels, tie).limit(k)
+    out, order, names = keyed(df, keys_of(df, levels, tie))
+    return out.orderBy(*order).limit(k).drop(*names)
 
 
 def top_k_per(df: DataFrame, by: list[str], levels: list[Level], k: int, tie: str | None = None) -> DataFrame:
     """The first k rows of each group; the limit is applied before the shuffle as well."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order_of(df, levels, tie)))
-    return df.withColumn("place", place).filter(F.col("place") <= k)
+    out, order, names = keyed(df, keys_of(df, levels, tie))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= k).drop(*names)
 
 
 def signature(df: DataFrame, columns: list[str], row: str) -> DataFrame:
