@@ -42,9 +42,11 @@ TABLE_WORDS = 150_000
 AT_ONCE, GROUP_WORDS, RUN_BYTES = 4096, 100_000, 1 << 20
 
 
-def pieces_of(word: bytes) -> list[str]:
-    """A raw word in lower case without outer punctuation, in pieces of bounded length; often one."""
-    text = word.decode(errors="replace").casefold().strip(string.punctuation)
+def pieces(text: str) -> list[str]:
+    """A casefolded word without outer punctuation, in pieces of bounded length; often one."""
+    if len(text) <= WORD_CHARS and text.isalnum():
+        return [text]
+    text = text.strip(string.punctuation)
     if text and not (text[0].isalnum() and text[-1].isalnum()):
         a, b = 0, len(text)
         while a < b and not text[a].isalnum():
@@ -57,6 +59,11 @@ def pieces_of(word: bytes) -> list[str]:
     return [text[k : k + WORD_CHARS] for k in range(0, len(text), WORD_CHARS)]
 
 
+def pieces_of(word: bytes) -> list[str]:
+    """pieces() of a raw word."""
+    return pieces(word.decode(errors="replace").casefold())
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -124,6 +131,54 @@ class BiGru:
         pooled = (h * weight[:, :, None]).sum(axis=0)
         return pooled, (h, weight, tf, tb)
 
+    def both_ways(self, p: dict, table: np.ndarray, at: np.ndarray, more: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+        """What attention and the rows of `more` (k, 2H) take of each state, apart by direction: (T, 2 + 2 * k, B), forward first.
+
+        at (T, B): rows of the table (rows, 6H) of gate inputs of both directions. No tape: both directions
+        run in one state with B along its last axis, so that each gate is contiguous. mask as in gru(), None for ones.
+        """
+        (steps, n), hd, k = at.shape, table.shape[1] // 6, len(more)
+        # Rows of the matrix: update, reset and new gates, each of both directions; then what is taken.
+        own, place = np.zeros((6 * hd + 2 + 2 * k, 2 * hd), np.float32), np.empty((2, 3, hd), np.int64)
+        takes = np.concatenate([p[f"{self.name}_a"][None], more])
+        for d, x in enumerate("fb"):
+            part = slice(d * hd, (d + 1) * hd)
+            place[d] = (2 * np.arange(3) + d)[:, None] * hd + np.arange(hd)
+            own[place[d].reshape(-1), part] = p[f"{self.name}_u{x}"].T
+            own[6 * hd + d, part] = takes[0, part]
+            own[6 * hd + 2 + d * k : 6 * hd + 2 + (d + 1) * k, part] = takes[1:, part]
+        forth, back = place.reshape(2, -1)
+        h, a, g = np.zeros((2 * hd, n), np.float32), np.zeros((len(own), n), np.float32), np.empty((6 * hd, n), np.float32)
+        out = np.empty((steps, 2 + 2 * k, n), np.float32)
+        zr, c = a[: 4 * hd], a[4 * hd : 6 * hd]
+        z, r = zr[: 2 * hd], zr[2 * hd :]
+        forward = [(6 * hd, 0, 1), (6 * hd + 2, 2, k)]
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                g[forth] = table[at[t], : 3 * hd].T
+                g[back] = table[at[steps - 1 - t], 3 * hd :].T
+                zr += g[: 4 * hd]
+                np.negative(zr, out=zr)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                c *= r
+                c += g[4 * hd :]
+                np.tanh(c, out=c)
+                if mask is None:
+                    h -= c
+                    h *= z
+                    h += c
+                else:
+                    new = c + z * (h - c)
+                    h[:hd] += mask[t] * (new[:hd] - h[:hd])
+                    h[hd:] += mask[steps - 1 - t] * (new[hd:] - h[hd:])
+                np.matmul(own, h, out=a)
+                for first, to, many in forward:
+                    out[t, to : to + many] = a[first : first + many]
+                    out[steps - 1 - t, to + many : to + 2 * many] = a[first + many : first + 2 * many]
+        return out
+
     def backward(self, p: dict, g: dict, dpooled: np.ndarray, tape):
         h, weight, tf, tb = tape
         dweight = (h * dpooled).sum(axis=2)
@@ -179,18 +234,29 @@ class Network:
         return np.concatenate([p["words"][own], np.concatenate(pooled)], axis=1), (tapes, own)
 
     def gates(self, words: list[str]) -> np.ndarray:
-        """(n, 6H) inputs of both directions of the word network."""
-        p, v = self.p, self.word_vectors(words)[0]
+        """(n, 6H) inputs of both directions of the word network, for words of one length."""
+        p, size = self.p, len(words[0])
+        chars = 1 + np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size).T % CHARS
+        table = np.concatenate([p["chars"] @ p["char_wf"] + p["char_bf"], p["chars"] @ p["char_wb"] + p["char_bb"]], axis=1)
+        taken = CHAR.both_ways(p, table, chars, np.eye(2 * CHAR_H, dtype=np.float32))
+        score = taken[:, 0] + taken[:, 1]
+        score = np.exp(score - score.max(axis=0))
+        score /= score.sum(axis=0)
+        k = 2 + 2 * CHAR_H
+        pooled = (score[:, None] * (taken[:, 2:k] + taken[:, k:])).sum(axis=0).T
+        own = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
+        v = np.concatenate([p["words"][own], pooled], axis=1)
         return np.concatenate([v @ p["word_wf"] + p["word_bf"], v @ p["word_wb"] + p["word_bb"]], axis=1)
 
     def logits(self, table: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """Logit of each window (B, T) of rows of the table; -1 pads."""
-        at = windows.T
+        at = np.ascontiguousarray(windows.T)
         mask = (at >= 0).astype(np.float32)
-        g = table[at]
-        k = g.shape[2] // 2
-        pooled, _ = WORD.forward(self.p, g[:, :, :k], g[:, :, k:], mask)
-        return pooled @ self.p["out"] + self.p["bias"][0]
+        out = self.p["out"]
+        f, b, of, ob = np.moveaxis(WORD.both_ways(self.p, table, at, out[None], None if mask.all() else mask), 1, 0)
+        score = f + b + (mask - 1) * 1e4
+        score = np.exp(score - score.max(axis=0))
+        return (score * (of + ob)).sum(axis=0) / score.sum(axis=0) + self.p["bias"][0]
 
     def step(self, docs: list[list[str]], labels: np.ndarray, rng) -> tuple[float, dict]:
         """Loss and gradients of a batch of documents, as lists of words."""
@@ -295,26 +361,34 @@ class Scorer:
 
     def learn(self, raw: list[bytes]) -> None:
         """Places for raw words: a row of the table, -1 for none, -2 for several (in `more`)."""
-        parts = {w: pieces_of(w) for w in raw}
-        new = sorted({x for ps in parts.values() for x in ps if x not in self.rows}, key=len)
-        for at in range(0, len(new), AT_ONCE):
-            some = new[at : at + AT_ONCE]
-            first = len(self.rows)
-            while first + len(some) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[first : first + len(some)] = self.network.gates(some)
-            self.rows.update(zip(some, range(first, first + len(some)), strict=True))
-        for w, ps in parts.items():
+        if not raw:
+            return
+        parts = list(map(pieces, b"\n".join(raw).decode(errors="replace").casefold().split("\n")))
+        by_size: dict[int, list[str]] = {}
+        for x in dict.fromkeys(x for ps in parts for x in ps if x not in self.rows):
+            by_size.setdefault(len(x), []).append(x)
+        for new in by_size.values():
+            for at in range(0, len(new), AT_ONCE):
+                some = new[at : at + AT_ONCE]
+                first = len(self.rows)
+                while first + len(some) > len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[first : first + len(some)] = self.network.gates(some)
+                self.rows.update(zip(some, range(first, first + len(some)), strict=True))
+        for w, ps in zip(raw, parts, strict=True):
             self.known[w] = self.rows[ps[0]] if len(ps) == 1 else -2 if ps else -1
             if len(ps) > 1:
                 self.more[w] = [self.rows[x] for x in ps]
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Rows of the table for words that have been learned."""
-        found = list(map(self.known.__getitem__, words))
-        at = np.array(found, dtype=np.int64)
-        if len(at) and at.min() < -1:
-            at = np.array([y for w, x in zip(words, found, strict=True) for y in (self.more[w] if x == -2 else (x,))], dtype=np.int64)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if len(several := np.flatnonzero(at == -2)):
+            rows = [self.more[words[k]] for k in several.tolist()]
+            size = np.ones(len(at), np.int64)
+            size[several] = list(map(len, rows))
+            at = np.repeat(at, size)
+            at[at == -2] = np.concatenate(rows)
         return at[at >= 0]
 
     def _group(self, group: list[tuple[int, list[bytes], int, bool]], top: np.ndarray) -> tuple[list[bytes], int]:
@@ -323,11 +397,12 @@ class Scorer:
         Returns what the run behind a last one that doesn't end its text starts with: words, and places to skip. So the
         windows of a text of several runs are those that it has as a whole.
         """
-        new = {w for _, words, _, _ in group for w in words if w not in self.known}
+        held = dict.fromkeys(w for _, words, _, _ in group for w in words)
+        new = [w for w in held if w not in self.known]
         if len(self.known) + len(new) > TABLE_WORDS:
             self.empty()
-            new = {w for _, words, _, _ in group for w in words}
-        self.learn(sorted(new))
+            new = list(held)
+        self.learn(new)
         parts = [windows_of(self.places(words)[skip:]) for _, words, skip, _ in group]
         rest: tuple[list[bytes], int] = [], 0
         _, words, skip, ends = group[-1]

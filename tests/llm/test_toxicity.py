@@ -22,6 +22,31 @@ def test_runs_score_exactly_like_the_whole(monkeypatch):
             monkeypatch.undo()
 
 
+def test_scoring_runs_without_a_tape_and_like_the_taped_pass(monkeypatch):
+    rng = np.random.default_rng(4)
+    network = tx.Network({"bad": 1, "other": 2}, seed=3)
+    network.p["words"] = rng.normal(0, 1, network.p["words"].shape).astype(np.float32)
+    for k in [x for x in network.p if x.split("_")[-1] in ("bf", "bb", "a")]:
+        network.p[k] = rng.normal(0, 1, network.p[k].shape).astype(np.float32)
+    words = ["bad", "other", "a", "\u00e9t\u00e9", "x" * 16, "word", "longer"]
+    v = network.word_vectors(words)[0]
+    p = network.p
+    table = np.concatenate([v @ p["word_wf"] + p["word_bf"], v @ p["word_wb"] + p["word_bb"]], axis=1)
+    windows = rng.integers(0, 7, (9, tx.WINDOW))
+    padded = windows.copy()
+    for k in range(8):
+        padded[k, k:] = -1
+    want = []
+    for w in (windows, padded):
+        g, mask = table[w.T], (w.T >= 0).astype(np.float32)
+        want.append(tx.WORD.forward(p, g[:, :, : 3 * tx.WORD_H], g[:, :, 3 * tx.WORD_H :], mask)[0] @ p["out"] + p["bias"][0])
+    monkeypatch.setattr(tx, "gru", None)
+    for k, w in enumerate(words):
+        assert np.allclose(network.gates([w, w]), table[[k, k]], atol=1e-5)
+    for w, logits in zip((windows, padded), want, strict=True):
+        assert np.allclose(network.logits(table, w), logits, atol=1e-5)
+
+
 def auc(score, truth):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
