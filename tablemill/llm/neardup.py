@@ -7,7 +7,10 @@ The plan, for documents as for paragraphs:
 2. Items that share a band key are candidates. Only stars (item, least item of the bucket) are
    kept, and their components are the coarse groups: each link lies inside one of them.
 3. A coarse group is split into chunks of bounded size by a hash, and each pair of chunks is a
-   block. One task holds one block at a time.
+   block. One task holds one block at a time. A large group may hang together by chance alone, and
+   one such group grows with the corpus: where its stars have fewer pairs than the whole, it falls
+   apart into them. A star has all items of the buckets of one least item, so each pair that shares a
+   band meets in a star; small stars are packed into blocks, large ones are split into chunks.
 4. In a block, pairs that share a band are compared by batches of their signatures. A pair is
    pruned as soon as the posterior probability that its similarity reaches the threshold falls
    below MISS; survivors are verified on their whole sets, most similar first, and pairs that are
@@ -141,8 +144,8 @@ def longs_list(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def coarse_groups(items: DataFrame) -> DataFrame:
-    """(id, bands) to (id, component) over shared band keys.
+def stars_of(items: DataFrame) -> DataFrame:
+    """(id, bands) to (a, b), written: an item and the least item of a bucket that it shares.
 
     A bucket is first met as the least and the greatest item of each task, so one that holds a third
     of all items is one row a task; only items of buckets with several are shuffled after that.
@@ -150,28 +153,66 @@ def coarse_groups(items: DataFrame) -> DataFrame:
     keys = items.select("id", F.explode("bands").alias("key"))
     buckets = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low"))
     edges = sifted(keys, "key", buckets.select("key"))[0].join(buckets, "key").filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    return connected_components(edges.distinct())
+    return written(edges.distinct())
+
+
+def _chunks(chunk: int):
+    return F.ceil(F.greatest(F.col("m") / chunk, F.col("total") / CHUNK_SHINGLES)).cast("int").alias("chunks")
+
+
+def grouped(stars: DataFrame, members: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(id, component, kind, part) and (component, kind, part, chunks): what is compared with each other, and its size.
+
+    stars as of stars_of(), members (id, n, component), both written. kind 0: a whole coarse group; 1: a star that is
+    larger than a chunk, by its least item; 2: a pack of small stars. An item can be in several of the last two.
+    """
+    sums = F.count("*").alias("m"), F.sum("n").alias("total")
+    sizes = written(members.groupBy("component").agg(*sums).select("component", "m", _chunks(chunk)))
+    whole = F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part")
+    rows, sized = members.select("id", "component", *whole), sizes.select("component", *whole, "chunks")
+    wide = sizes.filter("chunks > 1")
+    if wide.isEmpty():
+        return rows, sized
+    both = stars.select(F.col("a").alias("id"), F.col("b").alias("least")).union(stars.selectExpr("b", "b").distinct())
+    held = written(both.join(members.join(wide.select("component"), "component", "left_semi"), "id"))
+    of_star = written(held.groupBy("component", "least").agg(*sums).select("component", "least", "m", "total", _chunks(chunk)))
+    small = lambda c: F.sum(F.when(F.col("chunks") == 1, F.col(c)).otherwise(0))
+    parts = F.greatest(F.lit(1), F.ceil(2 * F.greatest(small("m") / chunk, small("total") / CHUNK_SHINGLES))).cast("int").alias("parts")
+    apart = written(
+        of_star.groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"), parts)
+        .join(wide.select("component", F.col("m").alias("all")), "component").filter("2 * pairs < all * all").select("component", "parts")
+    )
+    large = F.col("chunks") > 1
+    kind, part = F.when(large, 1).otherwise(2).alias("kind"), F.when(large, F.col("least")).otherwise(F.expr("pmod(xxhash64(least), parts)")).alias("part")
+    placed = written(of_star.join(apart, "component").select("component", "least", kind, part, "chunks"))
+    stars_rows = held.join(placed, ["component", "least"]).select("id", "component", "kind", "part").distinct()
+    rest = lambda df: df.join(apart, "component", "left_anti")
+    return written(rest(rows).unionByName(stars_rows)), written(rest(sized).unionByName(placed.select("component", "kind", "part", "chunks").distinct()))
+
+
+#: What tells blocks apart.
+BLOCK = ["component", "kind", "part", "low", "high"]
 
 
 def blocks_of(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of each block: (component, low, high, chunk, id, n, text), sorted by block in a task.
+    """Rows of each block: (component, kind, part, low, high, chunk, id, text), sorted by block in a task.
 
-    members (id, n, component) and sizes (component, chunks) are written tables, so a skewed join can be dealt anew.
+    members (id, component, kind, part) and sizes (component, kind, part, chunks) come from written tables, so a skewed join can be dealt anew.
     """
-    chunked = members.join(sizes, "component").withColumn("chunk", F.expr("int(pmod(xxhash64(id), chunks))"))
+    chunked = members.join(sizes, BLOCK[:3]).withColumn("chunk", F.expr("int(pmod(xxhash64(id), chunks))"))
     return (
         chunked.join(texts, "id")
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
         .select(
-            "component",
+            *BLOCK[:3],
             F.least("chunk", "other").alias("low"),
             F.greatest("chunk", "other").alias("high"),
             "chunk",
             "id",
             "text",
         )
-        .repartition("component", "low", "high")
-        .sortWithinPartitions("component", "low", "high")
+        .repartition(*BLOCK)
+        .sortWithinPartitions(*BLOCK)
     )
 
 
@@ -247,15 +288,12 @@ def _verify(bands: int, rows: int, percent: int):
         for batch in batches:
             names = batch.schema.names
             get = lambda c: batch.column(names.index(c))
-            rows_ = zip(
-                get("component").to_pylist(), get("low").to_pylist(), get("high").to_pylist(),
-                get("chunk").to_pylist(), get("id").to_pylist(), byte_texts(get("text")), strict=True,
-            )
-            for component, low, high, chunk, item, text in rows_:
-                if (component, low, high) != key:
+            rows_ = zip(zip(*(get(c).to_pylist() for c in BLOCK), strict=True), get("chunk").to_pylist(), get("id").to_pylist(), byte_texts(get("text")), strict=True)
+            for block, chunk, item, text in rows_:
+                if block != key:
                     if (out := flush()) is not None:
                         yield out
-                    key, held = (component, low, high), ([], [], [])
+                    key, held = block, ([], [], [])
                 held[0].append(item)
                 held[1].append(text or b"")
                 held[2].append(chunk)
@@ -272,15 +310,11 @@ def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: i
     texts: (id, text), or a function that gets the least row of `places` of each candidate and
     returns (id, text) for them. chunk: items of a chunk, more if they are small.
     """
-    groups = coarse_groups(items)
+    stars = stars_of(items)
+    groups = connected_components(stars)
     once = sifted(items.select("id", "n"), "id", groups.select("id"))[0].groupBy("id").agg(F.max("n").alias("n"))
     members = written(once.join(groups, "id"))
-    sizes = written(
-        members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select(
-            "component",
-            F.ceil(F.greatest(F.col("m") / chunk, F.col("total") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
-        )
-    )
+    compared, sizes = grouped(stars, members, chunk)
     if places is not None:
         # The least place of each item, by partial aggregates first: an item may have a third of all places.
         least = F.min(F.struct(*[c for c in places.columns if c != "id"])).alias("x")
@@ -288,5 +322,5 @@ def linked_components(items: DataFrame, texts, bands: int, rows: int, percent: i
         texts = texts(first.join(members.select("id"), "id", "left_semi"))
     else:
         texts = sifted(texts, "id", members.select("id"))[0]
-    links = written(blocks_of(members, sizes, texts).mapInArrow(_verify(bands, rows, percent), "a long, b long"))
+    links = written(blocks_of(compared, sizes, texts).mapInArrow(_verify(bands, rows, percent), "a long, b long"))
     return connected_components(links)

@@ -39,6 +39,30 @@ def test_group_of_noisy_copies_in_many_chunks(spark, monkeypatch):
     assert got == brute.near(docs)
 
 
+def test_group_that_hangs_together_by_chance(spark, monkeypatch):
+    """A chain of texts that share bands with their neighbours only, a few of them links: work grows with its length, not the square."""
+    rng, n = random.Random(5), 600
+    stretch = [[f"s{k}.{j}" for j in range(8)] for k in range(n + 7)]
+    texts = {k: " ".join(sum(stretch[k : k + 8], [])) for k in range(n)}
+    texts |= {1000 + k: texts[k] + " end" for k in rng.sample(range(n), 20)}
+    texts |= {2000 + k: " ".join([f"h{j}" for j in range(90)] + [f"t{k}"]) for k in range(30)} | {3000: " ".join(sum(stretch[7:11], []) + [f"h{j}" for j in range(30)])}
+    hasher, memo = neardup.MinHasher(6, 2), neardup.WordHashes()
+    sets = {i: neardup.distinct_shingles(t.encode(), memo) for i, t in texts.items()}
+    items = [(i, len(x), hasher.band_keys(hasher.signature(x)).view(np.int64).tolist()) for i, x in sets.items()]
+    made, blocks_of = [], neardup.blocks_of
+    monkeypatch.setattr(neardup, "blocks_of", lambda *a: made.append(blocks_of(*a)) or made[-1])
+    counts = []
+    written = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df: (counts.append(made[-1].count()) if made and df.columns == ["a", "b"] and not counts else None) or written(df))
+    got = neardup.linked_components(
+        spark.createDataFrame(items, "id long, n long, bands array<bigint>"), spark.createDataFrame(list(texts.items()), "id long, text string"), 6, 2, 80, chunk=10
+    )
+    links = [(i, j) for i in texts for j in texts if i < j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    want = {i: c for i, c in brute.components(sorted(texts), links).items() if any(i in x for x in links)}
+    assert {r.id: r.component for r in got.collect()} == want and len(want) > 60
+    assert counts[0] < 6 * len(texts)
+
+
 def test_edge_cases(spark):
     rows = [
         (1, None, "x"), (2, "", "x"), (3, " \n\t ", None), (4, "one two", "x"), (5, "ONE  two", "x"), (6, "one", "x"),
