@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from functools import wraps
 
@@ -213,6 +215,15 @@ class MinHasher:
         return mixed(total)
 
 
+def given_back() -> None:
+    """Return what this process has freed to the system; Arrow and the C library keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _SHARED: dict = {}
 _GROUP: list = [None]
 
@@ -222,6 +233,7 @@ def shared(group: str, key, make):
     so what one stage keeps doesn't burden the next one's memory."""
     if _GROUP[0] != group:
         _SHARED.clear()
+        given_back()
         _GROUP[0] = group
     if key not in _SHARED:
         _SHARED[key] = make()

@@ -371,8 +371,11 @@ class Scorer:
             for at in range(0, len(new), AT_ONCE):
                 some = new[at : at + AT_ONCE]
                 first = len(self.rows)
-                while first + len(some) > len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                if first + len(some) > len(self.table):
+                    # What isn't filled yet takes no memory.
+                    more = np.zeros((2 * (first + len(some)), self.table.shape[1]), np.float32)
+                    more[:first] = self.table[:first]
+                    self.table = more
                 self.table[first : first + len(some)] = self.network.gates(some)
                 self.rows.update(zip(some, range(first, first + len(some)), strict=True))
         for w, ps in zip(raw, parts, strict=True):

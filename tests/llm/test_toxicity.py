@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -47,6 +50,30 @@ def test_scoring_runs_without_a_tape_and_like_the_taped_pass(monkeypatch):
         assert np.allclose(network.logits(table, w), logits, atol=1e-5)
 
 
+MEMORY = """
+import re, sys
+sys.path.insert(0, sys.argv[1])
+from tablemill.llm import common, toxicity as tx
+peak = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+network, before, own = tx.Network({}, seed=1), peak(), held()
+for k in range(2):
+    texts = [" ".join("%x" % (hash((k, i, j)) % 16**12) for j in range(1000)).encode() for i in range(70)]
+    common.shared("toxicity", "scorer", lambda: tx.Scorer(network)).many(texts)
+    del texts
+print(peak() - before)
+common.shared("near", "nothing", lambda: 0)
+print(held() - own)
+"""
+
+
+def test_memory_of_a_worker():
+    """140,000 different words take less than 120 MB, and the next stage finds that free."""
+    out = subprocess.run([sys.executable, "-c", MEMORY, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))], capture_output=True, text=True, check=True, env=os.environ | {"OMP_NUM_THREADS": "1", "PYTHONHASHSEED": "1"})
+    most, left = map(float, out.stdout.split())
+    assert most < 120 and left < 12, (most, left)
+
+
 def auc(score, truth):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
